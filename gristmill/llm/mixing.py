@@ -10,12 +10,14 @@ probabilities moves through the null space of the balancing constraints (the num
 and their tokens, both in every source), each step until a probability reaches 0 or 1. Within a
 source the probabilities are equal, so with three undecided records of t1, t2, t3 tokens the
 null space is spanned by (t3 - t2, t1 - t3, t2 - t1). The flight runs in parallel over hashed
-blocks of each source and leaves at most two undecided records in a block; those of all blocks
-of a source fly once more, and the last two land on the outcome nearest to balance.
+blocks of each source and leaves at most two undecided records in a block. Those of all blocks
+of a source, and a fixed small number held back from its first block, fly once more; the last
+two land on the outcome nearest to balance, and swaps within this small pool even out the rest.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from gristmill.session import durable
 
 #: Records of a block of one source.
 BLOCK = 50_000
+#: Records of a source's first block that wait for the last flight, so that the landing has some to choose from.
+HELD = 128
 _CERTAIN = 1e-9
 
 
@@ -65,25 +69,43 @@ def fly(p: list[float], tokens: list[float], seed: int) -> list[float]:
     return p
 
 
-def land(p: list[float], tokens: list[float]) -> list[float]:
-    """Rounds the few that are left so that their tokens, then their number, stay nearest to what was due."""
-    open_ = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
-    due_t, due_n = sum(p[i] * tokens[i] for i in open_), sum(p[i] for i in open_)
+def land(p: list[float], tokens: list[float], due: float) -> list[float]:
+    """Rounds the few that are left, then swaps used and unused records while that brings the tokens nearer to what is due.
+
+    A swap keeps the number of records. Of equal outcomes the first holds.
+    """
+    out = np.array(p)
+    t = np.array(tokens)
+    open_ = np.flatnonzero((out > 0.0) & (out < 1.0))
+    n = float(out[open_].sum())
+    rest = due - float(out[np.setdiff1d(np.arange(len(out)), open_)] @ t[np.setdiff1d(np.arange(len(out)), open_)])
     outcomes = [[k >> j & 1 for j in range(len(open_))] for k in range(1 << len(open_))]
-    best = min(outcomes, key=lambda o: (abs(sum(x * tokens[i] for x, i in zip(o, open_)) - due_t), abs(sum(o) - due_n), o))
-    out = list(p)
-    for i, x in zip(open_, best):
-        out[i] = float(x)
-    return out
+    out[open_] = min(outcomes, key=lambda o: (round(abs(sum(o) - n), 6) >= 1, abs(float(np.dot(o, t[open_])) - rest), o))
+    while True:
+        off = due - float(out @ t)
+        used, free = np.flatnonzero(out == 1.0), np.flatnonzero(out == 0.0)
+        if abs(off) < 0.5 or not len(used) or not len(free):
+            return out.tolist()
+        left = np.abs(off - (t[free][None, :] - t[used][:, None]))
+        i, j = np.unravel_index(int(left.argmin()), left.shape)
+        if left[i, j] >= abs(off) - 1e-9:
+            return out.tolist()
+        out[used[i]], out[free[j]] = 0.0, 1.0
 
 
 def _flight(final: bool, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # from large to small: neighbours in size stand in for each other and what is left to land is small
-        rows = rows.sort_values(["tokens", "_order", "doc_id"], ascending=[False, True, True], kind="stable")
-        t = [float(x) for x in rows["tokens"]]
-        p = fly(rows["p"].tolist(), t, (seed * 0x9E3779B97F4A7C15 + len(t) * 0xD1B54A32D192ED03 + int(key[-1] if isinstance(key[-1], int) else 7)) & 0xFFFFFFFFFFFFFFFF)
-        rows["p"] = land(p, t) if final else p
+        rows = rows.sort_values(["_order", "doc_id"], kind="stable")
+        t, p = [float(x) for x in rows["tokens"]], rows["p"].tolist()
+        start = (seed * 0x9E3779B97F4A7C15 + len(t) * 0xD1B54A32D192ED03 + (0 if final else int(key[1])) + 7) & 0xFFFFFFFFFFFFFFFF
+        if not final:
+            held = HELD if key[1] == 0 else 0
+            fixed = len(t) - min(held, len(t))
+            rows["p"] = fly(p[:fixed], t[:fixed], start) + p[fixed:]
+        else:
+            flown = fly(p, t, start)
+            # only records of the landing pool take part in swaps; of the others there are at most two a block
+            rows["p"] = land(flown, t, sum(x * y for x, y in zip(p, t)))
         return rows
 
     return run
@@ -127,7 +149,7 @@ def mix(documents: DataFrame, sources: DataFrame, total: int | None = None, path
     schema = "doc_id bigint, source string, tokens bigint, base int, p double, _order bigint, _block int"
     sure, drawn = due.where("p <= 1e-9"), due.where("p > 1e-9").withColumn("_block", F.pmod("_order", "blocks").cast("int")).drop("blocks")
     flown = durable(drawn.groupBy("source", "_block").applyInPandas(_flight(False, seed), schema))
-    # at most two rows of each block are left
+    # at most two rows of each block are left, and the few held back from the first
     landed = flown.where("p > 0 and p < 1").groupBy("source").applyInPandas(_flight(True, seed), schema)
     whole = flown.where("p <= 0 or p >= 1").unionByName(landed)
     repeats = whole.select("doc_id", "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("repeats")).unionByName(

@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import leaks, mixing, splitting, tokens
+from gristmill.llm import encoding, language, leaks, mixing, splitting, tokens
 from gristmill.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_or_departing(table(spark, d, "files"), table(spark, d, "blocks"), table(spark, d, "lang_samples"))
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "files"), table(spark, d, "blocks"), table(spark, d, "lang_samples"))[0]
+
+
+def p2_passages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "files"), table(spark, d, "blocks"), table(spark, d, "lang_samples"))[1]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled_blocks(table(spark, d, "blocks", "block_id", "text"))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored(table(spark, d, "blocks", "block_id", "text"))
+
+
 def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(table(spark, d, "files"), table(spark, d, "blocks"))
 
@@ -41,6 +61,11 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_files": p2_files,
+    "p2_passages": p2_passages,
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
     "p5_budget": p5_budget,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
