@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions.metadata import canonical_language
+from gristmill.session import durable
 
 LEVEL = 6
 #: Bytes and share of the runner-up's size by which the smallest size must win.
@@ -167,11 +168,9 @@ def languages(files: DataFrame, blocks: DataFrame, samples: DataFrame) -> tuple[
     with no label; blocks of null file_id are left out.
     """
     known = read_samples(samples)
-    found = (
-        blocks.where("file_id is not null and text is not null")
-        .select("file_id", "block_no", "text")
-        .mapInArrow(_segments(known), "file_id bigint, block_no int, lang string, chars bigint, whole int, sure double")
-    )
+    texts = blocks.where("file_id is not null and text is not null").select(F.col("file_id").cast("bigint"), F.col("block_no").cast("int"), "text")
+    # the texts are read once; what is found in them, a row or two a block, is written down for its three uses
+    found = durable(texts.mapInArrow(_segments(known), "file_id bigint, block_no int, lang string, chars bigint, whole int, sure double"))
     by_lang = found.groupBy("file_id", "lang").agg(F.sum("chars").alias("chars"), F.sum("sure").alias("sure"))
     main = (
         by_lang.groupBy("file_id")

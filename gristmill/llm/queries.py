@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import encoding, language, leaks, mixing, splitting, tokens
+from gristmill.llm import encoding, language, leaks, mixing, pii, splitting, tokens
 from gristmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_items(table(spark, d, "blocks", "block_id", "text"))
+
+
+def p1_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(table(spark, d, "blocks", "block_id", "text"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return language.wrong_or_departing(table(spark, d, "files"), table(spark, d, "blocks"), table(spark, d, "lang_samples"))
 
@@ -61,6 +69,8 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_masked": p1_masked,
     "p2_found": p2_found,
     "p2_files": p2_files,
     "p2_passages": p2_passages,
