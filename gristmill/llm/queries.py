@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import encoding, language, leaks, mixing, pii, splitting, tokens
+from gristmill.llm import encoding, language, leaks, mixing, ocr, pii, splitting, tokens
 from gristmill.sources.tables import table
 
 
@@ -31,6 +31,14 @@ def p2_passages(spark: SparkSession, d: str) -> DataFrame:
     return language.languages(table(spark, d, "files"), table(spark, d, "blocks"), table(spark, d, "lang_samples"))[1]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.found(table(spark, d, "blocks", "file_id", "block_id", "block_no", "page_number", "text"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(table(spark, d, "blocks", "file_id", "block_id", "block_no", "page_number", "text"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled_blocks(table(spark, d, "blocks", "block_id", "text"))
 
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_files": p2_files,
     "p2_passages": p2_passages,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_budget": p5_budget,
