@@ -153,17 +153,25 @@ class Boosted:
 def model(path: str = MODEL) -> dict:
     with open(path) as f:
         m = json.load(f)
-    return {"rank": Boosted(m["rank"]["trees"], m["rank"]["base"]), "rank_at": m["rank"]["at"], "cut": np.array(m["cut"]), "furniture": np.array(m["furniture"])}
+    return {"rank": Boosted(m["rank"]["trees"], m["rank"]["base"]), "rank_at": m["rank"]["at"], "cut": np.array(m["cut"]), "furniture": [float(x) for x in m["furniture"]]}
+
+
+#: Costs beyond this are not told apart.
+FARTHEST = 1.31
 
 
 def distance(right: str, seen: str) -> float:
     """The least cost of reading ``seen`` for ``right``: 0.3 for each known misreading, 1 for each other change."""
+    if abs(len(right) - len(seen)) > 4:
+        return 9.0
     i = 0
     while i < min(len(right), len(seen)) and right[i] == seen[i]:
         i += 1
     j = 0
     while j < min(len(right), len(seen)) - i and right[-1 - j] == seen[-1 - j]:
         j += 1
+    if len(a_ := right[i : len(right) - j]) == len(b_ := seen[i : len(seen) - j]) and len(a_) > 4 and sum(x != y for x, y in zip(a_, b_)) > 6:
+        return 9.0
     # one more character on each side, as misreadings of two characters may share one with what was read
     a, b = right[i : len(right) - j], seen[i : len(seen) - j]
     if (a, b) in _PAIRS:
@@ -177,7 +185,7 @@ def distance(right: str, seen: str) -> float:
     for x in range(len(a) + 1):
         for y in range(len(b) + 1):
             d = best[x][y]
-            if d > 3:
+            if d > FARTHEST:
                 continue
             if x < len(a) and y < len(b):
                 best[x + 1][y + 1] = min(best[x + 1][y + 1], d + (a[x] != b[y]))
@@ -192,12 +200,12 @@ def distance(right: str, seen: str) -> float:
     return best[-1][-1]
 
 
-def rank_features(seen: str, right: str, seen_clean: int, seen_paged: int, right_clean: int, right_paged: int) -> list[float]:
+def rank_features(seen: str, right: str, seen_clean: int, seen_paged: int, right_clean: int, right_paged: int, cost: float | None = None) -> list[float]:
     grams = lambda w: {w[i : i + 2] for i in range(len(w) - 1)}
     a, b = grams(f"^{seen}$"), grams(f"^{right}$")
     known = math.log10(right_clean + right_paged + 1)
     return [
-        distance(right, seen),
+        distance(right, seen) if cost is None else cost,
         float(len(right)),
         float(abs(len(right) - len(seen))),
         known,
@@ -244,8 +252,8 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = model()
     for b in batches:
         cols = [c.to_pylist() for c in b.columns]
-        near = [r for r in zip(*cols) if distance(r[3], r[0]) <= 1.3]
-        x = np.array([rank_features(s, r, sc, sp, rc, rp) for s, sc, sp, r, rc, rp in near], np.float64).reshape(-1, 10)
+        near = [(*r, d) for r in zip(*cols) if (d := distance(r[3], r[0])) <= 1.3]
+        x = np.array([rank_features(s, r, sc, sp, rc, rp, d) for s, sc, sp, r, rc, rp, d in near], np.float64).reshape(-1, 10)
         score = m["rank"].score(x) if len(near) else np.zeros(0)
         keep = [(r[0], r[3], float(s)) for r, s in zip(near, score) if s >= m["rank_at"]]
         out = list(zip(*keep)) if keep else [(), (), ()]
@@ -299,15 +307,24 @@ def _judged_cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- running lines and page numbers ----------------------------------------------------------
 
 
+_PARTS = re.compile(r"[^\W_]+|/")
+_NUMBER = re.compile(r"^(?:[ivxlcdm]+|[\dloiszbq]*\d[\dloiszbq]*)$")
+
+
+@functools.lru_cache(maxsize=4096)
+def _page_word(word: str) -> bool:
+    return word in PAGE_WORDS or any(distance(p, word) <= 0.7 for p in PAGE_WORDS if len(p) > 2)
+
+
 def number_of(line: str) -> int | None:
     """The page's number if the line holds only that, in any dress."""
     s = line.strip().lower()
     if not s or len(s) > 40 or re.search(r"[^\w\s\-–—.|/()\[\]·•*~:!]", s):
         return None
-    parts = re.findall(r"[^\W_]+|/", s)
-    if not parts or len(parts) > 4:
+    parts = _PARTS.findall(s)
+    if not parts or len(parts) > 4 or not any(_NUMBER.match(x) for x in parts):
         return None
-    if len(parts) > 1 and len(parts[0]) > 1 and not parts[0].isdigit() and min(distance(p, parts[0]) for p in PAGE_WORDS if len(p) > 2) <= 0.7 or parts[0] in PAGE_WORDS:
+    if len(parts) > 1 and len(parts[0]) > 1 and not parts[0].isdigit() and _page_word(parts[0]):
         parts = parts[1:]
     if len(parts) == 3 and (parts[1] in _OF or any(distance(o, parts[1]) <= 0.3 for o in _OF)):
         parts = parts[:1]
@@ -324,19 +341,16 @@ def number_of(line: str) -> int | None:
     return int(read) if read.isdigit() and any(c.isdigit() for c in n) and len(n) <= 4 else None
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _folded(line: str) -> frozenset:
-    """The letter pairs of a line, with what scanners confuse taken as one and numbers left out."""
-    s = re.sub(r"(?:^|(?<=\s))[\W_]*(?:\d+|[ivxl]{1,5})[\W_]*(?=\s|$)", " ", line.strip().lower())
-    s = s.replace("rn", "m").replace("vv", "w").replace("ii", "u").translate(str.maketrans("0oc1l!|5nqéó6bfüh", "aeeiiiisugesbhtub"))
-    s = s.replace("o", "a")
-    s = re.sub(r"\W+", "", s)
-    return frozenset(s[i : i + 2] for i in range(len(s) - 1))
+_NUMBERED = re.compile(r"(?:^|(?<=\s))[\W_]*(?:\d+|[ivxl]{1,5})[\W_]*(?=\s|$)")
+_NOT_WORD = re.compile(r"\W+")
+_FOLD = str.maketrans("0oc1l!|5nqéó6bfühao", "aaeiiiisugeabhtubaa")
 
 
-def alike(a: str, b: str) -> float:
-    x, y = _folded(a), _folded(b)
-    return 2.0 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+def _folded(line: str) -> frozenset:
+    """The letter pairs of a line, with what scanners confuse taken as one and numbers left out."""
+    s = _NUMBERED.sub(" ", line.strip().lower()).replace("rn", "m").replace("vv", "w").replace("ii", "u").translate(_FOLD)
+    s = _NOT_WORD.sub("", s)
+    return frozenset(map("".join, zip(s, s[1:])))
 
 
 def title_like(line: str, width: int) -> bool:
@@ -349,51 +363,105 @@ def title_like(line: str, width: int) -> bool:
     return upper or (core[:1].isupper() and len(s) <= max(24, 0.8 * width))
 
 
-def line_features(line: str, place: int, width: int, apart: bool, others: list[tuple[str, int, int]]) -> list[float]:
-    """Features of a line at an edge with the lines at the same edge of the pages around it.
+class Line:
+    """A line at the edge of a page, with what is found out about it kept."""
 
-    place: lines with text between it and the edge; others: (line, place, pages away).
-    """
+    __slots__ = ("i", "text", "apart", "width", "_pairs", "_title", "_number")
+
+    def __init__(self, i: int, text: str, apart: int, width: int):
+        self.i, self.text, self.apart, self.width = i, text, bool(apart), width
+        self._pairs = self._title = self._number = None
+
+    @property
+    def pairs(self) -> frozenset:
+        if self._pairs is None:
+            self._pairs = _folded(self.text)
+        return self._pairs
+
+    @property
+    def title(self) -> bool:
+        if self._title is None:
+            self._title = title_like(self.text, self.width)
+        return self._title
+
+    @property
+    def number(self) -> int | None:
+        if self._number is None:
+            self._number = (number_of(self.text),)
+        return self._number[0]
+
+
+@functools.lru_cache(maxsize=256)
+def page_edges(about: str) -> tuple[list[Line], list[Line]]:
+    """The lines at the top and, from the last upwards, at the foot of a scanned page."""
+    width, _, top, foot = json.loads(about)
+    return [Line(*x, width) for x in top], [Line(*x, width) for x in reversed(foot)]
+
+
+def plain_features(line: Line, place: int) -> list[float]:
+    """Features of a line at an edge by itself. place: lines with text between it and the edge."""
+    s = line.text.strip()
+    return [1.0, float(line.title), float(line.apart), float(place), len(s) / max(1, line.width), float(bool(s) and s[-1] in ".,;!?…"), float(s[:1].islower())]
+
+
+def likeness(line: Line, place: int, others: list[tuple[Line, int, int]]) -> tuple[float, float]:
+    """How like the line is to the nearest line at the same edge of the pages around it, and whether
+    the next pages have a title at its place. others: (line, place, pages away)."""
     best, near = 0.0, 0.0
+    mine = line.pairs
     for o, p, away in others:
-        best = max(best, alike(line, o) * (1.0 if abs(p - place) <= 1 else 0.8))
-        if away == 1 and p == place and title_like(o, width):
+        if mine:
+            part = 1.0 if abs(p - place) <= 1 else 0.8
+            theirs = o.pairs
+            both = len(mine) + len(theirs)
+            if 2.0 * min(len(mine), len(theirs)) * part > best * both:
+                best = max(best, 2.0 * len(mine & theirs) / both * part)
+        if away == 1 and p == place and line.title and o.title:
             near = 1.0
-    s = line.strip()
-    title = title_like(line, width)
-    return [1.0, best, float(best > 0.8), float(best > 0.6), float(title), near * title, float(apart), float(place), len(s) / max(1, width), float(bool(s) and s[-1] in ".,;!?…"), float(s[:1].islower())]
+    return best, near
 
 
-def furniture(page: list, around: list[tuple[int, list]], weights: np.ndarray) -> list[tuple[int, str]]:
+def line_score(weights: list[float], plain: list[float], best: float, near: float) -> float:
+    """Above 0 for a running line. The first seven weights are for the plain features."""
+    w = weights
+    return sum(map(float.__mul__, w, plain)) + w[7] * best + w[8] * (best > 0.8) + w[9] * (best > 0.6) + w[10] * near * plain[1]
+
+
+def line_features(line: Line, place: int, others: list[tuple[Line, int, int]]) -> list[float]:
+    """All features in the order of the weights."""
+    best, near = likeness(line, place, others)
+    return [*plain_features(line, place), best, float(best > 0.8), float(best > 0.6), near * float(line.title)]
+
+
+def furniture(page: str, around: list[tuple[int, str]], weights: list[float]) -> list[tuple[int, str]]:
     """(line, kind) of the running lines and the page number of a page, given the pages around it.
 
-    page: [width, lines, top, foot] as scanned; around: (pages away, page).
+    page: as scanned; around: (pages away, page).
     """
-    found = []
-    for edge, sign in ((2, 1), (3, -1)):
-        lines = page[edge][::sign]
-        numbered = False
-        for place, (i, line, apart) in enumerate(lines):
-            n = number_of(line)
-            others = [(x[1], k, abs(away)) for away, p in around for k, x in enumerate((p[2] if edge == 2 else p[3] or p[2])[::sign])]
+    found: list[tuple[int, str]] = []
+    for edge, lines in enumerate(page_edges(page)):
+        others: list[tuple[Line, int, int]] | None = None
+        for place, line in enumerate(lines):
+            n = line.number
+            if n is None and not around:
+                break
+            if others is None:
+                others = [(x, k, abs(away)) for away, p in around for k, x in enumerate(page_edges(p)[edge] or page_edges(p)[0][::-1])]
             if n is not None:
-                if numbered or any(kind == "page_no" for _, kind in found):
+                if any(kind == "page_no" for _, kind in found):
                     break
-                seq = any(number_of(o) is not None and k == place for o, k, _ in others)
-                if line.strip()[-1] in ".:" and not any(number_of(o) in (n - a, n + a) for o, k, a in others):
+                seq = any(k == place and o.number is not None for o, k, _ in others)
+                text = line.text.strip()
+                if text[-1] in ".:" and not any(o.number in (n - a, n + a) for o, k, a in others):
                     break  # the end of a sentence
-                bare = line.strip().isdigit()
-                if place and not apart and bare and not seq and not found:
+                if place and not line.apart and text.isdigit() and not seq and not found:
                     break
-                found.append((i, "page_no"))
-                numbered = True
+                found.append((line.i, "page_no"))
                 continue
-            if not around:
-                break
-            x = line_features(line, place, page[0], bool(apart), others)
-            if float(weights @ np.array(x)) <= 0:
-                break
-            found.append((i, "header"))
+            plain = plain_features(line, place)
+            if line_score(weights, plain, 0.800001 if weights[7] < 0 else 1.0, 1.0) <= 0 or line_score(weights, plain, *likeness(line, place, others)) <= 0:
+                break  # the first test: not even a line like it nearby would make it one
+            found.append((line.i, "header"))
     return found
 
 
@@ -405,11 +473,11 @@ def _edge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = b.to_pydict()
         rows = []
         for r, block in enumerate(d["block_id"]):
-            page = json.loads(d["about"][r])
-            around = [(int(n[1]) * (-1 if n[0] == "b" else 1), json.loads(d[n][r])) for n in names if d[n][r]]
+            page = d["about"][r]
+            around = [(int(n[1]) * (-1 if n[0] == "b" else 1), d[n][r]) for n in names if d[n][r]]
             found = furniture(page, around, w)
             off = {i for i, _ in found}
-            text = {i: line for part in (page[2], page[3]) for i, line, _ in part}
+            text = {x.i: x.text for part in page_edges(page) for x in part}
             rows += [(block, i, kind, text[i].strip()) for i, kind in found]
             rest = [i for i in sorted(text) if i not in off]
             if rest:
@@ -427,20 +495,28 @@ def _edge_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rare_words(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
+        usual: set[str] = set()  # tokens, with whatever punctuation, that are common words or no words
         for b in batches:
+            if len(usual) > COMMON * 20:
+                usual.clear()
             ids, lines_, words = [], [], []
             for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                odd = {}
+                for t in set(text.split()).difference(usual):
+                    w = _word(t)
+                    if w is None or w in common:
+                        usual.add(t)
+                    else:
+                        odd[t] = w
+                if not odd:
+                    continue
                 rows = text.split("\n")
-                cuts = {(i, a + mark) for i, a, mark, _ in cut_pairs(rows)}
-                after = {(i + 1) for i, _ in cuts}
+                after = {i + 1 for i, _, _, _ in cut_pairs(rows)}
                 for i, line in enumerate(rows):
                     tokens = line.split()
                     for k, t in enumerate(tokens):
-                        if t in common or (k == 0 and i in after):
-                            continue
-                        w = _word(t)
-                        if w and w not in common and not (k == len(tokens) - 1 and t[-1] in "-­¬‐"):
-                            ids.append(block), lines_.append(i), words.append(w)
+                        if t in odd and not (k == 0 and i in after) and not (k == len(tokens) - 1 and t[-1] in "-­¬‐"):
+                            ids.append(block), lines_.append(i), words.append(odd[t])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines_, pa.int32()), pa.array(words, pa.string())], names=["block_id", "line", "word"])
 
     return run

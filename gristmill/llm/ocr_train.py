@@ -169,14 +169,15 @@ def furniture_rows(r: random.Random):
             if number:
                 t = number.format(t, start + p) if p % 2 else number.format(start + p, t).replace("|", " ")
             lines.append((_noisy(t, r, 0.2), r.random() < 0.6))
+        at = lambda text, apart=False: ocr.Line(0, text, apart, width)
         for p, (line, apart) in enumerate(lines):
-            around = [(lines[q][0] or body(width), place, abs(q - p)) for q in range(max(0, p - 2), min(pages, p + 3)) if q != p]
-            around += [(body(width), k, a) for _, _, a in around for k in (0, 1, 2) if k != place]
+            around = [(at(lines[q][0] or body(width)), place, abs(q - p)) for q in range(max(0, p - 2), min(pages, p + 3)) if q != p]
+            around += [(at(body(width)), k, a) for _, _, a in around for k in (0, 1, 2) if k != place]
             if line:
-                x.append(ocr.line_features(line, place, width, bool(apart), around))
+                x.append(ocr.line_features(at(line, apart), place, around))
                 y.append(1)
             for k in (0, 1, 2):
-                x.append(ocr.line_features(body(width), k, width, r.random() < 0.2, around))
+                x.append(ocr.line_features(at(body(width), r.random() < 0.2), k, around))
                 y.append(0)
     return np.array(x), np.array(y)
 
