@@ -81,10 +81,9 @@ def cut_pairs(lines: list[str]) -> list[tuple[int, str, str, str]]:
 
 
 def edges(lines: list[str]) -> tuple[list[int], list[int]]:
-    """The first and the last few lines with text of a page, as numbers of lines."""
+    """The first and the last few lines with text of a page, as numbers of lines; on a short page they are partly the same."""
     full = [i for i, x in enumerate(lines) if x.strip()]
-    top = full[:EDGE]
-    return top, [i for i in full[-EDGE:] if i not in top]
+    return full[:EDGE], full[-EDGE:]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,11 +441,13 @@ def furniture(page: str, around: list[tuple[int, str]], weights: list[float]) ->
     for edge, lines in enumerate(page_edges(page)):
         others: list[tuple[Line, int, int]] | None = None
         for place, line in enumerate(lines):
+            if any(i == line.i for i, _ in found):
+                continue
             n = line.number
             if n is None and not around:
                 break
             if others is None:
-                others = [(x, k, abs(away)) for away, p in around for k, x in enumerate(page_edges(p)[edge] or page_edges(p)[0][::-1])]
+                others = [(x, k, abs(away)) for away, p in around for k, x in enumerate(page_edges(p)[edge])]
             if n is not None:
                 if any(kind == "page_no" for _, kind in found):
                     break
@@ -617,12 +618,13 @@ def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]]
             elif kind == "ocr_char":
                 fixes.setdefault(i, {})[seen] = word
         lines = text.split("\n")
-        started = False
-        for i, line in enumerate(lines):
+        body = [i for i, line in enumerate(lines) if line.strip() and i not in off]
+        for i in range(body[0], body[-1] + 1) if body else ():  # empty lines beside furniture are no paragraphs
+            line = lines[i]
             if i in off:
                 continue
             if not line.strip():
-                if open_ and started:
+                if open_:
                     paragraphs.append(open_)
                     open_ = ""
                 continue
@@ -641,7 +643,6 @@ def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]]
                 last = tokens.pop()
                 lead = len(last) - len(last.lstrip(_STRIP))
                 carry = (last[lead:], last[:lead] + _like(cuts[i][0][1], last[lead:]) if lead else cuts[i][0][1])
-            started = True
             if tokens:
                 open_ = f"{open_} {' '.join(tokens)}" if open_ else " ".join(tokens)
         if open_ and open_[-1] in ".!?…:”»" and not carry:
