@@ -26,8 +26,8 @@ from gristmill.session import durable
 LEVEL = 6
 #: Bytes and share of the runner-up's size by which the smallest size must win.
 MARGIN, MARGIN_SHARE = 4, 0.06
-#: A sentence compressed to at most this share of its size by the language before it is in it.
-OWN = 0.6
+#: A sentence compressed to at most this share of its size, frame apart, by the language before it is in it.
+OWN = 0.52
 #: Characters of labelled samples a dictionary takes in per language; samples are sorted by number.
 SAMPLE_CHARS = 1 << 16
 
@@ -57,12 +57,15 @@ class Classifier:
         import zstandard
 
         self.packers = {}
+        self.frame = 0
         for lang in LANGUAGES:
             raw = f"{COMMON[lang]} {samples.get(lang, '').lower()}".encode()
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.packers[lang] = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
+        self.frame = len(self.packers[LANGUAGES[0]].compress(b""))
+
     def sizes(self, data: bytes) -> list[tuple[int, str]]:
         return sorted((len(p.compress(data)), lang) for lang, p in self.packers.items())
 
@@ -76,7 +79,7 @@ class Classifier:
         return (lang, sure) if second - best >= MARGIN and sure >= MARGIN_SHARE else (None, sure)
 
     def passages(self, text: str) -> list[tuple[str | None, int, int, float]]:
-        """(language, characters, whole sentences, sum of confidence times characters) of a block."""
+        """(language, characters, 1 if it has a whole sentence, sum of confidence times characters) of a block."""
         if not text or not text.strip():
             return []
         if _LISTING.search(text):
@@ -84,13 +87,13 @@ class Classifier:
         if "\n" in text:
             text = _HYPHEN.sub("", text)
         found: dict[str | None, list[float]] = {}
-        own, packer, own_sure = None, None, 0.0
+        own, packer, own_sure, frame = None, None, 0.0, self.frame
         for s in _SPLIT.split(text):
             s = " ".join(s.split())
             if not s:
                 continue
             data = s.lower().encode()
-            if packer is not None and len(packer.compress(data)) <= OWN * len(data):
+            if packer is not None and len(packer.compress(data)) - frame <= OWN * len(data):
                 lang, sure = own, own_sure
             else:
                 (a, lang), (b, _) = self.sizes(data)[:2]
@@ -101,7 +104,8 @@ class Classifier:
                     own, packer, own_sure = lang, self.packers[lang], sure
             f = found.setdefault(lang, [0, 0, 0.0])
             f[0] += len(s)
-            f[1] += bool(_WHOLE_END.search(s[-4:]) and _WHOLE_START.search(s) and len(_LETTER_WORD.findall(s)) >= SENTENCE_WORDS)
+            if not f[1] and lang:
+                f[1] = int(bool(_WHOLE_END.search(s[-4:]) and _WHOLE_START.search(s) and len(_LETTER_WORD.findall(s)) >= SENTENCE_WORDS))
             f[2] += sure * len(s)
         if None in found and len(found) == 1:  # too little to tell by sentence: the block as a whole
             lang, sure = self.language(text)
@@ -162,7 +166,7 @@ def languages(files: DataFrame, blocks: DataFrame, samples: DataFrame) -> tuple[
     none), lang, confidence, chars; a row for each file in which a language was found. The
     confidence is the share of the text that is in the language times the margin by which the
     language won there, scaled to 1 for a margin of a third or more. per passage: file_id,
-    block_no, lang, sentences, chars, confidence, where a block holds at least one whole
+    block_no, lang, chars, confidence, where a block holds at least one whole
     sentence in a language other than its file's. Null and empty texts and texts too short or
     too mixed to tell have no language. Blocks of a file_id that files lacks count as a file
     with no label; blocks of null file_id are left out.
@@ -190,7 +194,7 @@ def languages(files: DataFrame, blocks: DataFrame, samples: DataFrame) -> tuple[
     per_file = main.join(labels, "file_id", "left").select("file_id", "label", "lang", "confidence", "chars")
     # sentences of other languages are few; their files' main language is joined to them alone
     others = found.where("whole > 0 and lang is not null").join(main.select("file_id", F.col("lang").alias("_main")), "file_id").where("lang <> _main")
-    per_passage = others.select("file_id", "block_no", "lang", F.col("whole").alias("sentences"), "chars", F.round(F.least(F.lit(1.0), 3 * F.col("sure") / F.col("chars")), 4).alias("confidence"))
+    per_passage = others.select("file_id", "block_no", "lang", "chars", F.round(F.least(F.lit(1.0), 3 * F.col("sure") / F.col("chars")), 4).alias("confidence"))
     return per_file, per_passage
 
 
