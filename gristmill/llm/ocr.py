@@ -33,6 +33,8 @@ RATIO = 8
 COMMON = 20_000
 #: Lines at each edge of a page that may be furniture, and pages before and after it that are compared.
 EDGE, AROUND = 3, 2
+#: Characters kept of the start and of the end of a line at an edge; lines longer than both are no running lines.
+LINE = 200
 
 #: Characters and what scanners read for them.
 MISREAD = {
@@ -108,7 +110,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top, foot = edges(lines)
             full = [len(x) for x in lines if x.strip()]
             width = max(full, default=0)
-            about = json.dumps([width, len(full), [[i, lines[i], int(i + 1 < len(lines) and not lines[i + 1].strip())] for i in top], [[i, lines[i], int(i > 0 and not lines[i - 1].strip())] for i in foot]], ensure_ascii=False)
+            short = lambda x: x if len(x) <= 2 * LINE else f"{x[:LINE]} … {x[-LINE:]}"
+            about = json.dumps([width, len(full), [[i, short(lines[i]), int(i + 1 < len(lines) and not lines[i + 1].strip())] for i in top], [[i, short(lines[i]), int(i > 0 and not lines[i - 1].strip())] for i in foot]], ensure_ascii=False)
             rows.append(("p", file_id, block_id, page, no, 0, "", "", "", about))
         words: dict[str, list[int]] = {}
         for k, counts in enumerate((clean, paged)):

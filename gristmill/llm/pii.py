@@ -28,6 +28,8 @@ REACH = 2
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 #: Distinct tokens a worker remembers before it starts afresh (about 350 bytes each).
 REMEMBERED = 200_000
+#: Tokens that are decoded in one sequence at most.
+LONGEST = 20_000
 
 _TOKEN = re.compile(r"[^\W_]+|\s*\n\s*|[^\w\s]|_")
 _LONG_NUMBER = re.compile(r"\d{4,}")
@@ -103,7 +105,23 @@ class Tagger:
             return np.fromiter((known[t] for t in tokens), np.int32, len(tokens))
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The labels of each text's tokens."""
+        """The labels of each text's tokens. Texts over LONGEST tokens are gone through in parts that end with a sentence or line."""
+        if any(len(t) > LONGEST for t in texts):
+            parts = [self._parts(t) for t in texts]
+            labels = iter(self._tag([p for ps in parts for p in ps]))
+            return [np.concatenate([next(labels) for _ in ps]) if ps else np.zeros(0, np.int8) for ps in parts]
+        return self._tag(texts)
+
+    @staticmethod
+    def _parts(tokens: list[str]) -> list[list[str]]:
+        out, a = [], 0
+        while len(tokens) - a > LONGEST:
+            b = next((i + 1 for i in range(a + LONGEST - 1, a + LONGEST // 2, -1) if tokens[i] in ".!?" or "\n" in tokens[i]), a + LONGEST)
+            out.append(tokens[a:b])
+            a = b
+        return [*out, tokens[a:]] if a < len(tokens) else out
+
+    def _tag(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self._reset()
         n_labels = len(LABELS)
