@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,22 @@ def local_session(cores: str | int = "*", app: str = "gristmill", **conf: str) -
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package to the executors, once a session, so that it need not be installed there."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_gristmill_shipped", False):
+        here = Path(__file__).resolve().parent
+        if here.is_dir():  # not itself running from a shipped copy
+            archive = Path(tempfile.mkdtemp(prefix="gristmill-ship-")) / "gristmill_package.zip"
+            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+                for f in sorted(here.rglob("*")):
+                    if f.is_file() and "__pycache__" not in f.parts:
+                        z.write(f, f"{here.name}/{f.relative_to(here)}")
+            sc.addPyFile(str(archive))
+        sc._gristmill_shipped = True
     return spark
 
 
