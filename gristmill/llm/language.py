@@ -31,14 +31,18 @@ OWN = 0.52
 #: Characters of labelled samples a dictionary takes in per language; samples are sorted by number.
 SAMPLE_CHARS = 1 << 16
 
+#: Blocks looked at and characters taken in a language to fit the dictionaries to the corpus; the margin
+#: by which a sentence's language must win to be taken, and the share of it that must be new.
+FIT_ROWS, FIT_CHARS, FIT_MARGIN, FIT_NEW = 1_500, 12_000, 0.2, 0.25
+
 #: Common words and turns of each language.
 COMMON = {
     "en": "the of and to in is was were with for from had been this that which their there they them his her has have not are by on at it its be an as or but if when while after before because although than then each every other into over under about between through during what who where how many how much did does more most some any no all can could will would should may might must please only also still just very first last next can be reached on during office hours belongs to was attached by mistake has not answered moved to last month please send the signed form to questions should go to and not to the help desk replies arrive at urgent calls go to kind regards the minutes were signed by if the door is locked our new colleague the applicant gave passport no. the parcel for goes to price fell page mention stored next to invoice lists pages of which were unreadable had to be rewritten was read at covers the years as much as before was requested times was filed under was tagged in the channel answered on port and stayed online carried a valid heading",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber ist sind war waren wurde wurden wird werden hat haben hatte nicht mit von vom zu zum zur im in ins auf aus bei nach vor für über unter durch gegen ohne um am an als wie wenn weil dass obwohl während bevor damit noch auch nur sehr mehr kein keine sich sie er es wir ihr ihre seine dieser diese dieses jeder jede jedes welche was wer wo wann warum bitte gehört fehlt steht stammt liegt davon etwa zwischen hinter neben seit bis ist unter zu erreichen wohnt jetzt in mit freundlichen grüßen hat noch nicht geantwortet wurde versehentlich angehängt wurde unterschrieben das protokoll bei verschlossener tür bitte anrufen bitte senden sie das formular an unser neuer kollege der antragsteller nannte die nummer das paket für geht an fragen gehen bitte an und nicht an der preis fiel von auf euro seiten waren nicht lesbar meldete sich der knoten über anschluss fehlt im verzeichnis vollständig und damit doppelt so viel wie früher trugen eine gültige überschrift steht mal im kanal",
-    "fr": "le la les un une des du de et ou mais est sont était étaient a ont été avec pour par sur sous dans chez sans vers entre que qui quoi dont où ce cette ces cet son sa ses leur leurs il elle ils elles nous vous on ne pas plus moins très aussi encore puis donc car si quand comme avant après pendant depuis jusque lorsque afin bien l’ d’ qu’ n’ s’ c’ j’ aux au même tout toute tous toutes chaque autre quel quelle combien soit deux fois que l’on peut joindre appelez si la porte est fermée cordialement a été signé par le procès-verbal a été jointe par erreur n’a pas répondu le propriétaire habite maintenant notre nouveau collègue merci d’envoyer le formulaire à les questions vont à le colis pour part à appartient à a donné le numéro la note a été relue fois le prix est passé de à compte pages dont sont illisibles a répondu sur le port manque dans le répertoire soit deux fois plus qu’avant portaient un titre valable dépend du centre",
-    "es": "el la los las un una unos unas de del y o pero es son era eran fue fueron ha han había con para por sobre bajo en sin entre hasta desde hacia que quien cual cuyo donde cuando como este esta estos estas ese esa su sus lo le les se no sí más menos muy también todavía ya porque aunque mientras antes después durante si al cada otro otra todo toda todos todas qué quién cuál cuánto cuántas está están tiene no figura depende respondió por el puerto se leen cerca un saludo el acta fue firmada por se adjuntó por error no ha respondido el dueño vive ahora en nuestro nuevo compañero envíe el formulario a las preguntas van a las respuestas llegan a llame al si la puerta está cerrada el paquete para va a pertenece a dio el número el precio bajó de a páginas y de ellas no se leen no figura en el catálogo necesita el doble que antes llevaba un título válido quién revisó la señal de en el año",
-    "it": "il lo la i gli le un uno una di del dello della dei degli delle e o ma è sono era erano fu ha hanno aveva stato stata con per su sul sulla sotto in nel nella nei senza tra fra fino da dal dalla che chi cui dove quando come questo questa questi queste quello quella suo sua suoi loro non più meno molto anche ancora già perché poiché mentre prima dopo durante se ogni altro altra tutto tutta tutti quale quanti quante al allo alla ai agli alle risponde circa non è più si trova accanto conta cordiali saluti il verbale è stato firmato da è stato allegato per errore non ha risposto il proprietario abita ora in il nostro nuovo collega inviare il modulo a le domande vanno a chiamare il se la porta è chiusa il pacco per va a appartiene a ha dato il numero il prezzo è sceso da a pagine delle quali non sono leggibili ha risposto sulla porta non è più nel catalogo richiede più di prima delle schede aveva un titolo valido",
-    "pt": "o a os as um uma uns umas de do da dos das e ou mas é são era eram foi foram tem têm havia com para por pelo pela sobre sob em no na nos nas sem entre até desde que quem qual cujo onde quando como este esta estes estas esse essa isso seu sua seus suas lhe se não sim mais menos muito também ainda já porque embora enquanto antes depois durante cada outro outra todo toda todos todas ao aos à às já não consta do catálogo está ao lado da fatura das quais precisa de respondeu na porta desceu de para quantas unidades com os melhores cumprimentos a ata foi assinada por foi anexado por engano não respondeu o senhorio mora agora em o nosso novo colega envie o formulário a as perguntas vão para ligue para se a porta estiver fechada a encomenda para segue para pertence a deu o número tem páginas das quais não são legíveis atenção não abrir a caixa sem o âmbito definido por o dobro de antes",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber ist sind war waren wurde wurden wird werden hat haben hatte nicht mit von vom zu zum zur im in ins auf aus bei nach vor für über unter durch gegen ohne um am an als wie wenn weil dass obwohl während bevor damit noch auch nur sehr mehr kein keine sich sie er es wir ihr ihre seine dieser diese dieses jeder jede jedes welche was wer wo wann warum bitte gehört fehlt steht stammt liegt davon etwa zwischen hinter neben seit bis ist unter zu erreichen wohnt jetzt in mit freundlichen grüßen hat noch nicht geantwortet wurde versehentlich angehängt wurde unterschrieben das protokoll bei verschlossener tür bitte anrufen bitte senden sie das formular an unser neuer kollege der antragsteller nannte die nummer das paket für geht an fragen gehen bitte an und nicht an der preis fiel von auf euro seiten waren nicht lesbar meldete sich der knoten über anschluss fehlt im verzeichnis vollständig und damit doppelt so viel wie früher trugen eine gültige überschrift steht mal im kanal die lieferung liegt neben rechnung in halle der vorgang das gebäude raum das modell die fassung",
+    "fr": "le la les un une des du de et ou mais est sont était étaient a ont été avec pour par sur sous dans chez sans vers entre que qui quoi dont où ce cette ces cet son sa ses leur leurs il elle ils elles nous vous on ne pas plus moins très aussi encore puis donc car si quand comme avant après pendant depuis jusque lorsque afin bien l’ d’ qu’ n’ s’ c’ j’ aux au même tout toute tous toutes chaque autre quel quelle combien soit deux fois que l’on peut joindre appelez si la porte est fermée cordialement a été signé par le procès-verbal a été jointe par erreur n’a pas répondu le propriétaire habite maintenant notre nouveau collègue merci d’envoyer le formulaire à les questions vont à le colis pour part à appartient à a donné le numéro la note a été relue fois le prix est passé de à compte pages dont sont illisibles a répondu sur le port manque dans le répertoire soit deux fois plus qu’avant portaient un titre valable dépend du centre le lot se trouve près de la facture dans le hall le dossier le bâtiment salle le modèle la version",
+    "es": "el la los las un una unos unas de del y o pero es son era eran fue fueron ha han había con para por sobre bajo en sin entre hasta desde hacia que quien cual cuyo donde cuando como este esta estos estas ese esa su sus lo le les se no sí más menos muy también todavía ya porque aunque mientras antes después durante si al cada otro otra todo toda todos todas qué quién cuál cuánto cuántas está están tiene no figura depende respondió por el puerto se leen cerca un saludo el acta fue firmada por se adjuntó por error no ha respondido el dueño vive ahora en nuestro nuevo compañero envíe el formulario a las preguntas van a las respuestas llegan a llame al si la puerta está cerrada el paquete para va a pertenece a dio el número el precio bajó de a páginas y de ellas no se leen no figura en el catálogo necesita el doble que antes llevaba un título válido quién revisó la señal de en el año el lote está junto a la factura en la nave el expediente el edificio sala el modelo la versión",
+    "it": "il lo la i gli le un uno una di del dello della dei degli delle e o ma è sono era erano fu ha hanno aveva stato stata con per su sul sulla sotto in nel nella nei senza tra fra fino da dal dalla che chi cui dove quando come questo questa questi queste quello quella suo sua suoi loro non più meno molto anche ancora già perché poiché mentre prima dopo durante se ogni altro altra tutto tutta tutti quale quanti quante al allo alla ai agli alle risponde circa non è più si trova accanto conta cordiali saluti il verbale è stato firmato da è stato allegato per errore non ha risposto il proprietario abita ora in il nostro nuovo collega inviare il modulo a le domande vanno a chiamare il se la porta è chiusa il pacco per va a appartiene a ha dato il numero il prezzo è sceso da a pagine delle quali non sono leggibili ha risposto sulla porta non è più nel catalogo richiede più di prima delle schede aveva un titolo valido la partita si trova accanto alla fattura nel padiglione la pratica l’edificio sala il modello la versione",
+    "pt": "o a os as um uma uns umas de do da dos das e ou mas é são era eram foi foram tem têm havia com para por pelo pela sobre sob em no na nos nas sem entre até desde que quem qual cujo onde quando como este esta estes estas esse essa isso seu sua seus suas lhe se não sim mais menos muito também ainda já porque embora enquanto antes depois durante cada outro outra todo toda todos todas ao aos à às já não consta do catálogo está ao lado da fatura das quais precisa de respondeu na porta desceu de para quantas unidades com os melhores cumprimentos a ata foi assinada por foi anexado por engano não respondeu o senhorio mora agora em o nosso novo colega envie o formulário a as perguntas vão para ligue para se a porta estiver fechada a encomenda para segue para pertence a deu o número tem páginas das quais não são legíveis atenção não abrir a caixa sem o âmbito definido por o dobro de antes o lote a fatura no pavilhão o processo o edifício sala o modelo a versão",
 }
 LANGUAGES = tuple(COMMON)
 
@@ -158,6 +162,33 @@ def read_samples(samples: DataFrame, limit: int = SAMPLE_CHARS) -> tuple[tuple[s
     return tuple(sorted((r["lang"], r["text"]) for r in rows.collect()))
 
 
+def enriched(samples: tuple[tuple[str, str], ...], blocks: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[tuple[str, str], ...]:
+    """The samples with sentences of the blocks themselves that they already tell apart by a wide margin.
+
+    Fitted on the first ``rows`` blocks among those chosen by a hash of their id, and at most ``chars`` characters a
+    language; both bound what reaches the driver, whatever the corpus. Sentences that the language's
+    dictionary holds already are not taken.
+    """
+    every = max(1, blocks.count() // (20 * rows))
+    texts = blocks.where("length(text) between 1 and 20000").where(F.pmod(F.xxhash64("file_id", "block_no"), F.lit(every)) == 0)
+    first = sorted(texts.select("text").limit(rows).collect())  # taken partition by partition until there are enough
+    c = Classifier(dict(samples))
+    new: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
+    size = dict.fromkeys(LANGUAGES, 0)
+    for r in first:
+        for s in _SPLIT.split(_HYPHEN.sub("", r["text"])):
+            s = " ".join(s.split())
+            if len(s) < 30:
+                continue
+            data = s.lower().encode()
+            (best, lang), (second, _) = c.sizes(data)[:2]
+            if (second - best) / second >= FIT_MARGIN and best - c.frame > FIT_NEW * len(data) and size[lang] < chars:
+                new[lang].append(s)
+                size[lang] += len(s)
+    have = dict(samples)
+    return tuple((lang, f"{have.get(lang, '')} {' '.join(new[lang])}".strip()) for lang in LANGUAGES)
+
+
 def languages(files: DataFrame, blocks: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per file, per passage) languages with confidence.
 
@@ -171,7 +202,7 @@ def languages(files: DataFrame, blocks: DataFrame, samples: DataFrame) -> tuple[
     too mixed to tell have no language. Blocks of a file_id that files lacks count as a file
     with no label; blocks of null file_id are left out.
     """
-    known = read_samples(samples)
+    known = enriched(read_samples(samples), blocks)
     texts = blocks.where("file_id is not null and text is not null").select(F.col("file_id").cast("bigint"), F.col("block_no").cast("int"), "text")
     # the texts are read once; what is found in them, a row or two a block, is written down for its three uses
     found = durable(texts.mapInArrow(_segments(known), "file_id bigint, block_no int, lang string, chars bigint, whole int, sure double"))

@@ -15,6 +15,7 @@ import functools
 import json
 import math
 import os
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -152,9 +153,9 @@ class Boosted:
 
 
 @functools.lru_cache(maxsize=1)
-def model(path: str = MODEL) -> dict:
-    with open(path) as f:
-        m = json.load(f)
+def model() -> dict:
+    """The models in the package (also where that is an archive)."""
+    m = json.loads(pkgutil.get_data(__package__, os.path.basename(MODEL)))
     return {"rank": Boosted(m["rank"]["trees"], m["rank"]["base"]), "rank_at": m["rank"]["at"], "cut": np.array(m["cut"]), "furniture": [float(x) for x in m["furniture"]]}
 
 

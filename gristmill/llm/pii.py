@@ -12,7 +12,9 @@ Viterbi's algorithm in numpy.
 from __future__ import annotations
 
 import functools
+import io
 import os
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -180,8 +182,9 @@ class Tagger:
 
 
 @functools.lru_cache(maxsize=1)
-def tagger(path: str = WEIGHTS) -> Tagger:
-    with np.load(path) as z:
+def tagger(path: str | None = None) -> Tagger:
+    """The tagger of a file of weights, or of those in the package (also where that is an archive)."""
+    with np.load(path or io.BytesIO(pkgutil.get_data(__package__, os.path.basename(WEIGHTS)))) as z:
         return Tagger(z["names"].tolist(), z["weights"].astype(np.float32), z["moves"].astype(np.float32))
 
 
@@ -250,7 +253,7 @@ def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _found(path: str):
+def _found(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tagger(path)
         for b in batches:
@@ -265,7 +268,7 @@ def _found(path: str):
     return run
 
 
-def personal_items(blocks: DataFrame, path: str = WEIGHTS) -> DataFrame:
+def personal_items(blocks: DataFrame, path: str | None = None) -> DataFrame:
     """(block_id, kind, occ): each item of personal information, numbered in its text in reading order.
 
     Null and empty texts have none. Repeated rows give their items once each.
@@ -276,7 +279,7 @@ def personal_items(blocks: DataFrame, path: str = WEIGHTS) -> DataFrame:
 _ITEM = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def masked(blocks: DataFrame, path: str = WEIGHTS) -> DataFrame:
+def masked(blocks: DataFrame, path: str | None = None) -> DataFrame:
     """(block_id, text, items): the texts with each item replaced by its type in brackets, all else unchanged.
 
     items: kind, start and end of each in the original text. Null and empty texts stay as they are.
