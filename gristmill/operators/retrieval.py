@@ -59,8 +59,8 @@ def _with_one(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, score): the k nearest vectors of each query by cosine, exactly.
+def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, least: float | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the k nearest vectors of each query by cosine, exactly; from ``least`` on if given.
 
     queries: (query_id, embedding), a stated set; vectors: (chunk_id, embedding). The queries are
     sent to the workers in blocks of at most ``block`` vectors; each batch of vectors is one
@@ -85,7 +85,7 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4
                 s = np.round(m @ v.T, 10)
                 top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(ids), 1))
                 edge = np.take_along_axis(s, top, 1).min(1)
-                keep = s >= edge[:, None]  # ties at the edge all go on
+                keep = s >= (edge[:, None] if least is None else np.maximum(edge[:, None], least))  # ties at the edge all go on
                 r, c = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), b.column(0).take(pa.array(c)), pa.array(s[r, c], pa.float64())], names=["query_id", "chunk_id", "score"])
 

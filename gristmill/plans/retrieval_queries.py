@@ -11,6 +11,7 @@ from gristmill.operators import compliance as C
 from gristmill.operators import fusion as R
 from gristmill.operators import grounding as G
 from gristmill.operators import retrieval as V
+from gristmill.session import durable
 from gristmill.sources.tables import table
 
 QUERIES = {}
@@ -115,10 +116,11 @@ _GQ = f"""{_ED}, fr AS (SELECT entity, count(*) AS n FROM ce GROUP BY 1), se AS
 @query(f"WITH {_GQ} SELECT query_id::BIGINT AS query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM sc) WHERE rn <= 50")
 def dom_graph_query(spark, d):
     """Chunks near twenty seeds (the most frequent entities) by walking two steps."""
-    ce = _entities(spark, d)
+    ce = durable(_entities(spark, d))
+    edges = durable(V.entity_edges(ce))  # walked over several times
     top = ce.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entity").limit(20)
     seeds = top.withColumn("query_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "entity")).cast("bigint")).select("query_id", "entity")
-    return V.graph_scores(seeds, V.entity_edges(ce), ce).select("query_id", "chunk_id", "score")
+    return V.graph_scores(seeds, edges, ce).select("query_id", "chunk_id", "score")
 
 
 _VN = """k(kind, w) AS (VALUES ('v','rewrote'),('v','compared'),('v','moved'),('v','restored'),('v','counted'),('v','rejected'),('v','delivered'),('v','measured'),('n','index'),('n','ledger'),('n','depot'),('n','ramp'),('n','server'),('n','annex'),('n','report'),('n','snapshots'))"""
