@@ -34,6 +34,8 @@ RATIO = 8
 COMMON = 20_000
 #: Lines at each edge of a page that may be furniture, and pages before and after it that are compared.
 EDGE, AROUND = 3, 2
+#: Blocks of a file that are looked at in one task, and how many on each side are taken along for comparison.
+STRETCH, BESIDE = 512, 8
 #: Characters kept of the start and of the end of a line at an edge; lines longer than both are no running lines.
 LINE = 200
 
@@ -106,8 +108,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, a, mark, rest in cuts:
                 rows.append(("h", file_id, block_id, page, no, i, a.lower(), mark, rest.lower(), None))
             paged.update(text.split())
-            for i, a, mark, rest in cuts:
-                paged[a + mark] -= 1
+            for line in lines:
+                line = line.rstrip()
+                if line and line[-1] in "-­¬‐":
+                    paged[line.rsplit(None, 1)[-1]] -= 1  # a piece of a word, as it seems, is none itself
             top, foot = edges(lines)
             full = [len(x) for x in lines if x.strip()]
             width = max(full, default=0)
@@ -447,6 +451,8 @@ def furniture(page: str, around: list[tuple[int, str]], weights: list[float]) ->
         for place, line in enumerate(lines):
             if any(i == line.i for i, _ in found):
                 continue
+            if len(line.text) > 2 * LINE:
+                break
             n = line.number
             if n is None and not around:
                 break
@@ -541,11 +547,16 @@ def noise(blocks: DataFrame) -> DataFrame:
     counts = durable(seen.where("what = 'c'").groupBy(F.col("a").alias("word")).agg(F.sum("y").alias("clean"), F.sum("x").alias("paged")))
 
     # running lines and page numbers, from each page's edge lines and those of the pages around it
-    order = Window.partitionBy("file_id").orderBy("x", "y", "block_id")
-    pages = seen.where("what = 'p'").select("file_id", "block_id", "x", "y", "about")
+    # a file is gone through in stretches, each with a few pages of the ones beside it, so that no task holds a whole file
+    at = F.coalesce("y", F.lit(0))
+    near = F.pmod(at, F.lit(STRETCH))
+    stretch = F.floor(at / STRETCH)
+    beside = F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.when(near < BESIDE, F.struct((stretch - 1).alias("s"), F.lit(False).alias("own"))), F.when(near >= STRETCH - BESIDE, F.struct((stretch + 1).alias("s"), F.lit(False).alias("own"))))
+    pages = seen.where("what = 'p'").select("file_id", "block_id", "x", "y", "about", F.explode(F.filter(beside, lambda b: b.isNotNull())).alias("in"))
+    order = Window.partitionBy("file_id", "in.s").orderBy("x", "y", "block_id")
     for k in range(1, AROUND + 1):
         pages = pages.withColumn(f"b{k}", F.lag("about", k).over(order)).withColumn(f"a{k}", F.lead("about", k).over(order))
-    pages = pages.withColumn("next_block", F.lead("block_id").over(order))
+    pages = pages.withColumn("next_block", F.lead("block_id").over(order)).where("in.own")
     about = [f"{s}{k}" for s in "ba" for k in range(1, AROUND + 1)]
     judged = durable(pages.select("block_id", "about", *about).mapInArrow(_edge_pages, "block_id bigint, line int, kind string, text string"))
     furniture_rows = judged.where("kind in ('header', 'page_no')")
@@ -555,7 +566,9 @@ def noise(blocks: DataFrame) -> DataFrame:
     tail = judged.where("kind = 'tail'").select("block_id", "line", F.substring("text", 1, 1).alias("mark"), F.expr("substring(text, 2)").alias("a"))
     head = judged.where("kind = 'head'").select(F.col("block_id").alias("next_block"), F.col("text").alias("b"))
     over = tail.join(follow, "block_id").join(head, "next_block").select("block_id", "line", "a", "mark", "b")
-    inside = seen.where("what = 'h'").select("block_id", "line", "a", "mark", "b").join(furniture_rows.select("block_id", "line"), ["block_id", "line"], "left_anti")
+    inside = seen.where("what = 'h'").select("block_id", "line", "a", "mark", "b")
+    taken = furniture_rows.select("block_id", "line").unionByName(furniture_rows.select("block_id", (F.col("line") - 1).cast("int").alias("line")))
+    inside = inside.join(taken, ["block_id", "line"], "left_anti")  # neither line may be furniture
     cuts = inside.unionByName(over)
     distinct = cuts.select("a", "mark", "b").distinct()
     n = counts.select("word", (F.col("clean") + F.col("paged")).alias("n"))
@@ -659,26 +672,24 @@ def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]]
     return "\n\n".join(paragraphs)
 
 
-#: Pages of one file that are put together in one task; of longer files each run of so many pages gives a part.
+#: Blocks of one file that are put together in one task; of longer files each run of so many gives a part.
 PART = 2_000
 
 
 def repaired(blocks: DataFrame) -> DataFrame:
     """(file_id, part, pages, text): each file's pages as continuous text in readable paragraphs.
 
-    A file of more than PART pages comes in parts, so that no task holds an unbounded file; a
+    A file of more than PART blocks comes in parts, so that no task holds an unbounded file; a
     word cut between two parts stays in the first. Files without pages have no row.
     """
     marks = noise(blocks).groupBy("block_id").agg(F.collect_list(F.struct("line", "kind", "seen", "word")).alias("marks"))
-    order = Window.partitionBy("file_id").orderBy("page_number", "block_no", "block_id")
     pages = (
         blocks.where("page_number > 0 and text is not null")
-        .select(F.col("file_id").cast("bigint"), F.col("block_id").cast("bigint"), "page_number", "block_no", "text")
-        .withColumn("n", F.row_number().over(order))
-        .withColumn("part", F.floor((F.col("n") - 1) / PART).cast("int"))
+        .select(F.col("file_id").cast("bigint"), F.col("block_id").cast("bigint"), "page_number", "block_no", "text", F.floor(F.coalesce("block_no", F.lit(0)) / PART).cast("int").alias("part"))
         .join(marks, "block_id", "left")
     )
-    grouped = pages.groupBy("file_id", "part").agg(F.array_sort(F.collect_list(F.struct("n", "text", "marks"))).alias("rows"))
+    row = F.struct("page_number", "block_no", "block_id", "text", "marks")
+    grouped = pages.groupBy("file_id", "part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

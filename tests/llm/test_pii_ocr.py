@@ -97,3 +97,20 @@ def test_noise_and_repair(spark):
 def test_weights_come_from_the_tables():
     assert len(json.load(open(ocr.MODEL))["furniture"]) == 11
     assert pii.tagger().weights.shape[1] == (2 * pii.REACH + 1) * len(pii.LABELS)
+
+
+def test_long_files_are_gone_through_in_stretches(spark):
+    n = ocr.STRETCH + 40
+    rows = [(1, i, i, i, _page("Annual Notes on Velmar", "samples of the water behind the old cabinet while the back-", f"- {i} -")) for i in range(1, n + 1)]
+    rows += [(2, 10_000 + i, i, 0, "samples of the water behind the old cabinet while the backup was running") for i in range(3)]
+    blocks = spark.createDataFrame([(f, b, k, p, t.replace("\n\nsamples", "\n\nup samples") if p else t) for f, b, k, p, t in rows], "file_id bigint, block_id bigint, block_no int, page_number int, text string")
+    got = [tuple(r) for r in ocr.found(blocks).collect()]
+    kinds = {k: sum(x[1] == k for x in got) for k in ("header", "page_no", "hyphen", "ocr_char")}
+    assert kinds == {"header": n, "page_no": n, "hyphen": n - 1, "ocr_char": 0}
+    assert {x[2] for x in got if x[1] == "hyphen"} == {"backup"}
+
+
+def test_long_lines_are_no_running_lines(spark):
+    long = "The night operator counted the water samples behind the old cabinet. " * 12
+    blocks = spark.createDataFrame([(1, i, i, i, long + "x" * i) for i in range(1, 5)], "file_id bigint, block_id bigint, block_no int, page_number int, text string")
+    assert ocr.found(blocks).where("kind in ('header', 'page_no')").count() == 0
