@@ -8,7 +8,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1000) -> DataFrame:
-    """Rows of Parquet files as they arrive in a folder, at most so many files at once."""
+    """Rows of Parquet files as they arrive in a folder (or of a single file), at most so many files at once."""
+    if path.endswith(".parquet"):
+        path = path[:-1] + "[t]"  # as a pattern it may name a file as well as a folder
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
