@@ -551,12 +551,13 @@ def noise(blocks: DataFrame) -> DataFrame:
     at = F.coalesce("y", F.lit(0))
     near = F.pmod(at, F.lit(STRETCH))
     stretch = F.floor(at / STRETCH)
-    beside = F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.when(near < BESIDE, F.struct((stretch - 1).alias("s"), F.lit(False).alias("own"))), F.when(near >= STRETCH - BESIDE, F.struct((stretch + 1).alias("s"), F.lit(False).alias("own"))))
+    beside = F.array(F.struct(stretch.alias("s"), F.lit(True).alias("own")), F.when((near < BESIDE) & (stretch > 0), F.struct((stretch - 1).alias("s"), F.lit(False).alias("own"))), F.when(near >= STRETCH - BESIDE, F.struct((stretch + 1).alias("s"), F.lit(False).alias("own"))))
     pages = seen.where("what = 'p'").select("file_id", "block_id", "x", "y", "about", F.explode(F.filter(beside, lambda b: b.isNotNull())).alias("in"))
-    order = Window.partitionBy("file_id", "in.s").orderBy("x", "y", "block_id")
-    for k in range(1, AROUND + 1):
-        pages = pages.withColumn(f"b{k}", F.lag("about", k).over(order)).withColumn(f"a{k}", F.lead("about", k).over(order))
-    pages = pages.withColumn("next_block", F.lead("block_id").over(order)).where("in.own")
+    pages = pages.select("file_id", "block_id", "x", "y", "about", F.col("in.s").alias("stretch"), F.col("in.own").alias("own"))
+    order = Window.partitionBy("file_id", "stretch").orderBy("x", "y", "block_id")
+    steps = range(1, AROUND + 1)
+    beside = [f(F.col("about"), k).over(order).alias(f"{n}{k}") for k in steps for n, f in (("b", F.lag), ("a", F.lead))]
+    pages = pages.select("block_id", "about", "own", F.lead("block_id").over(order).alias("next_block"), *beside).where("own")
     about = [f"{s}{k}" for s in "ba" for k in range(1, AROUND + 1)]
     judged = durable(pages.select("block_id", "about", *about).mapInArrow(_edge_pages, "block_id bigint, line int, kind string, text string"))
     furniture_rows = judged.where("kind in ('header', 'page_no')")
