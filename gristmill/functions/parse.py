@@ -145,26 +145,38 @@ def answer_claims(text: str | None) -> list[tuple[str, str]]:
 
 
 _ROMAN = re.compile(r"^(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
-_TOKEN = r"([0-9]{1,4}|[ivxlcdm]+)"
+_PIECES = re.compile(r"[^\W_]+|[|·•–—-]")
+
+
+def _as_label(piece: str) -> str | None:
+    if piece.isdigit() and len(piece) <= 4:
+        return piece
+    return piece.lower() if _ROMAN.match(piece) else None
+
+
+def _label_of(line: str, page_words: tuple[str, ...], of_words: tuple[str, ...]) -> str | None:
+    """The label a line prints: after a page word, alone between marks, or set off by a mark at an end."""
+    pieces = _PIECES.findall(line)
+    words = [p for p in pieces if p[0].isalnum()]
+    low = [w.lower() for w in words]
+    for i, w in enumerate(low[:-1]):
+        label = _as_label(words[i + 1])
+        if w in page_words and label and (len(words) == 2 or (low[i + 2 : i + 3] and low[i + 2] in of_words and low[i + 3 : i + 4] and low[i + 3].isdigit())):
+            return label
+    if len(words) == 1:
+        return _as_label(words[0])
+    if len(pieces) > 2 and not pieces[-2][0].isalnum() and _as_label(pieces[-1]):
+        return _as_label(pieces[-1])
+    if len(pieces) > 2 and not pieces[1][0].isalnum():
+        return _as_label(pieces[0])
+    return None
 
 
 def printed_label(text: str | None, page_words: tuple[str, ...] = ("page",), of_words: tuple[str, ...] = ("of",)) -> str:
     """The page label printed in a page's two outermost lines, foot first; empty if there is none."""
     lines = [x.strip() for x in (text or "").splitlines() if x.strip()]
-    if not lines:
-        return ""
-    page, of = "|".join(map(re.escape, page_words)), "|".join(map(re.escape, of_words))
-    shapes = [
-        re.compile(rf"\b(?:{page})\s+{_TOKEN}\s+(?:{of})\s+[0-9]{{1,4}}\b", re.I),
-        re.compile(rf"^\s*(?:(?:{page})\s+)?[\-–—.\s]*{_TOKEN}[\-–—.\s]*$", re.I),
-        re.compile(rf"[|·•\-–—]\s*(?:(?:{page})\s+)?{_TOKEN}\s*$", re.I),
-        re.compile(rf"^\s*{_TOKEN}\s*[|·•\-–—]", re.I),
-    ]
-    for line in [lines[-1], lines[0], *([lines[-2], lines[1]] if len(lines) > 1 else [])]:
-        m = shapes[0].search(line) or shapes[1].match(line) or shapes[2].search(line) or shapes[3].match(line)
-        if m and (m[1].isdigit() or _ROMAN.match(m[1])):
-            return m[1] if m[1].isdigit() else m[1].lower()
-    return ""
+    outer = [lines[-1], lines[0], *lines[-2:-1], *lines[1:2]] if lines else []
+    return next((label for x in outer if (label := _label_of(x, page_words, of_words))), "")
 
 
 @F.pandas_udf(StringType())
