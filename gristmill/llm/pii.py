@@ -16,6 +16,7 @@ import io
 import os
 import pkgutil
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,7 +254,7 @@ def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _found(path: str | None):
+def _found(path: str | None, by_kind: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tagger(path)
         for b in batches:
@@ -261,19 +262,22 @@ def _found(path: str | None):
             take, kinds, occ = [], [], []
             for i, (w, y) in enumerate(zip(tokens, model.tag(tokens))):
                 if y.any():
-                    for n, (kind, _, _) in enumerate(items(w, y), 1):
-                        take.append(i), kinds.append(kind), occ.append(n)
+                    seen: Counter = Counter()
+                    for kind, _, _ in items(w, y):
+                        seen[key := kind if by_kind else ""] += 1
+                        take.append(i), kinds.append(kind), occ.append(seen[key])
             yield pa.RecordBatch.from_arrays([b.column("block_id").take(pa.array(take, pa.int64())), pa.array(kinds, pa.string()), pa.array(occ, pa.int32())], names=["block_id", "kind", "occ"])
 
     return run
 
 
-def personal_items(blocks: DataFrame, path: str | None = None) -> DataFrame:
+def personal_items(blocks: DataFrame, path: str | None = None, by_kind: bool = False) -> DataFrame:
     """(block_id, kind, occ): each item of personal information, numbered in its text in reading order.
 
-    Null and empty texts have none. Repeated rows give their items once each.
+    by_kind: the items of each kind are numbered from 1 by themselves. Null and empty texts have
+    none. Repeated rows give their items once each.
     """
-    return blocks.select(F.col("block_id").cast("bigint"), "text").mapInArrow(_found(path), "block_id bigint, kind string, occ int")
+    return blocks.select(F.col("block_id").cast("bigint"), "text").mapInArrow(_found(path, by_kind), "block_id bigint, kind string, occ int")
 
 
 _ITEM = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -12,7 +12,7 @@ from gristmill.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.personal_items(table(spark, d, "blocks", "block_id", "text"))
+    return pii.personal_items(table(spark, d, "blocks", "block_id", "text"), by_kind=True)
 
 
 def p1_masked(spark: SparkSession, d: str) -> DataFrame:

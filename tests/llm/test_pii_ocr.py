@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from gristmill.llm import ocr, ocr_train, pii, pii_table
+from gristmill.llm import ocr, ocr_train, pii, pii_table, queries
 
 
 def test_viterbi_against_brute_force():
@@ -51,6 +51,13 @@ def test_masking_leaves_the_rest(spark):
     assert len(pii.find([long])[0]) == 3
 
 
+def test_found_items_are_numbered_by_kind(spark, tmp_path):
+    t = "Please send the signed form to Emily Tanwick at daniel.falk@ulmbor.example. Call +1 241 555 0170 if the door is locked. Ticket INC-123456 lists 40 pages."
+    spark.createDataFrame([(1, t), (2, f"{t}\n{t}"), (3, None)], "block_id bigint, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = sorted(tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect())
+    assert got == sorted((b, k, n) for b, times in ((1, 1), (2, 2)) for k in ("name", "email", "phone") for n in range(1, times + 1))
+
+
 def test_distance():
     assert ocr.distance("server", "scrver") == 0.3 and ocr.distance("aquarium", "aquariurn") == 0.3 and ocr.distance("supplier", "suppher") == 0.3
     assert ocr.distance("server", "server") == 0.0 and ocr.distance("server", "serxer") == 1.0 and ocr.distance("a", "bcdefgh") >= 1.3
