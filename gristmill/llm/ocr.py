@@ -225,26 +225,34 @@ def rank_features(seen: str, right: str, seen_clean: int, seen_paged: int, right
     ]
 
 
-def keys(word: str) -> list[str]:
-    """The q-grams by which a word is looked up, with their place; q grows with the word's length."""
-    n = len(word)
+def keys(word: str, n: int | None = None) -> list[str]:
+    """The q-grams, with their place, by which a word is looked up among right words of n letters (its own number if not given).
+
+    q and the middle are those of n letters, so that a misreading that changes a word's length
+    leaves it a gram in common with the right word. Words of four and six letters also have both
+    their ends as one gram, as two letters in the middle touch each of the others.
+    """
+    n = n or len(word)
     q = 1 if n < 4 else 2 if n < 6 else 3
     m = n // 2
     out = [f"^{word[:q]}", f"${word[-q:]}"]
     if n > 5:
-        out += [f"~{word[m - 1 : m + 2]}", f"-{word[-m - 1 : len(word) - m + 2]}"]
+        at = len(word) - m - 1
+        out += [f"~{word[m - 1 : m + 2]}", f"-{word[at : at + 3]}"]
+    if n in (4, 6):
+        out.append(f"={word[: m - 1]}{word[1 - m :]}")
     return out
 
 
 def _keyed(rows: DataFrame, spread: int, columns: list[str]) -> DataFrame:
-    """A row for each q-gram of ``word`` with the lengths that may match it."""
+    """A row for each length that may match ``word`` and q-gram of it for that length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, out = [], []
             for i, w in enumerate(b.column("word").to_pylist()):
-                for k in keys(w):
-                    for n in range(len(w) - spread, len(w) + spread + 1):
+                for n in range(max(1, len(w) - spread), len(w) + spread + 1):
+                    for k in keys(w, n):
                         take.append(i)
                         out.append(f"{n}{k}")
             at = pa.array(take, pa.int64())

@@ -79,6 +79,20 @@ def test_models_on_held_out_noise():
     assert ((x @ m["cut"].T).argmax(1) == y).mean() > 0.97
 
 
+def test_the_lookup_misses_no_misreading(spark):
+    missed = []
+    m = ocr.model()
+    x, y = ocr_train.rank_rows(random.Random(903), missed)
+    s = m["rank"].score(x) >= 0
+    assert missed == [] and y[s].mean() > 0.95 and (s & (y == 1)).sum() / (y.sum() + len(missed)) > 0.95
+    # misreadings that change the length across that at which the grams do, or touch both halves of a word
+    pairs = [("empty", "ernpty"), ("rampa", "rarnpa"), ("small", "srnall"), ("wüste", "wiiste"), ("camp", "carnp"), ("arm", "arrn"), ("clear", "dear"), ("relied", "rehed"), ("declare", "dedare"), ("modern", "modem")]
+    rows = [(w, 5000, 800) for w, _ in pairs] + [(s, 0, 40) for _, s in pairs]
+    counts = spark.createDataFrame(rows, "word string, clean long, paged long")
+    got = {r["word"]: r["right"] for r in ocr.corrections(counts, counts.where("clean = 0")).collect()}
+    assert got == {s: w for w, s in pairs}
+
+
 def _page(head, body, foot):
     return f"{head}\n\n{body}\n\n{foot}"
 
