@@ -163,11 +163,20 @@ def proj_mask_all(spark, d):
     return table(spark, d, "blocks").where("text is not null").select("block_id", T.mask(T.mask_credentials(F.col("text"))).alias("masked"))
 
 
+def _consecutive_cosine(e) -> DataFrame:
+    e = e.withColumn("prev", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
+    return e.where("prev is not null").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("prev")), 6).alias("cosine"))
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], prev::DOUBLE[]), 6) AS cosine FROM (SELECT vec_id, embedding, lag(embedding) OVER (ORDER BY vec_id) AS prev FROM embeddings WHERE label = 1) WHERE prev IS NOT NULL")
 def win_consecutive_cosine(spark, d):
-    """Cosine of neighbours in order, within one label."""
-    e = table(spark, d, "embeddings").where("label = 1").withColumn("prev", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
-    return e.where("prev is not null").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("prev")), 6).alias("cosine"))
+    """Cosine of neighbours in order, within one label; those of all labels are in win_consecutive_cosine_all."""
+    return _consecutive_cosine(table(spark, d, "embeddings").where("label = 1"))
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], prev::DOUBLE[]), 6) AS cosine FROM (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) WHERE prev IS NOT NULL")
+def win_consecutive_cosine_all(spark, d):
+    return _consecutive_cosine(table(spark, d, "embeddings"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first_unit FROM embeddings")

@@ -122,3 +122,18 @@ def test_html_text():
 def test_roman_and_stem():
     assert [P.roman_value(x) for x in ("iv", "xii", "MCMXC")] == [4, 12, 1990]
     assert P.stem("running") == "run" and P.stem("glass") == "glass" and P.stem("studies") == "study"
+
+
+def test_neighbours_of_all_labels(spark, data):
+    import math
+
+    import __spark_entry__ as entry
+
+    last, want = {}, {}
+    for r in sorted(spark.read.parquet(f"{data}/embeddings.parquet").collect(), key=lambda r: r["vec_id"]):
+        v = list(r["embedding"])
+        if (u := last.get(r["label"])) is not None:
+            want[r["vec_id"]] = sum(x * y for x, y in zip(u, v)) / math.sqrt(sum(x * x for x in u) * sum(x * x for x in v))
+        last[r["label"]] = v
+    got = {r["vec_id"]: r["cosine"] for r in entry.queries()["win_consecutive_cosine_all"](spark, data).collect()}
+    assert len(last) > 1 and set(got) == set(want) and all(abs(got[k] - x) < 1e-5 for k, x in want.items())
