@@ -86,7 +86,7 @@ def duplicate_pairs(pool: DataFrame, threshold: float = DUPLICATE) -> DataFrame:
     return both.select("query_id", "a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def drop_duplicates(pool: DataFrame, score: str = "rrf_score", threshold: float = DUPLICATE, rounds: int = 12) -> DataFrame:
+def drop_duplicates(pool: DataFrame, score: str = "rrf_score", threshold: float = DUPLICATE) -> DataFrame:
     """A pool without chunks that are near-duplicates of a better one that is kept.
 
     Greedy in order of score, as lists are walked from the top: a chunk goes if a kept one before
@@ -102,9 +102,7 @@ def drop_duplicates(pool: DataFrame, score: str = "rrf_score", threshold: float
     edges = durable(edges)
     gone = edges.select("query_id", F.col("down").alias("chunk_id")).limit(0)
     left = edges
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         waiting = left.select("query_id", F.col("down").alias("up")).distinct()
         firm = left.join(waiting, ["query_id", "up"], "left_anti")
         out = firm.select("query_id", F.col("down").alias("chunk_id")).distinct()
@@ -112,9 +110,6 @@ def drop_duplicates(pool: DataFrame, score: str = "rrf_score", threshold: float
         left = durable(
             left.join(out.withColumnRenamed("chunk_id", "down"), ["query_id", "down"], "left_anti").join(out.withColumnRenamed("chunk_id", "up"), ["query_id", "up"], "left_anti")
         )
-    else:
-        if not left.isEmpty():
-            raise ValueError("chains of near-duplicates are longer than the rounds allowed")
     return pool.join(gone, ["query_id", "chunk_id"], "left_anti")
 
 

@@ -293,7 +293,7 @@ def join_near_duplicates(spark, d):
 @query()
 def fuse_drop_duplicates(spark, d):
     """Each pool without near-duplicates of better chunks (greedy, so tested against brute force)."""
-    return R.drop_duplicates(_sample_pool(spark, d)).select("query_id", "chunk_id")
+    return R.drop_duplicates(_pool(spark, d).select("query_id", "chunk_id", "text", F.col("retrieval_score").alias("rrf_score"))).select("query_id", "chunk_id")
 
 
 # --- compliance ----------------------------------------------------------------------------------

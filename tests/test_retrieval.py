@@ -123,6 +123,27 @@ def test_drop_duplicates_is_greedy(spark, seed):
     assert got == _greedy(texts, scores, 0.7)
 
 
+def test_drop_duplicates_follows_long_chains(spark):
+    texts = {f"c{i:02}": " ".join(f"w{k}" for k in range(i, i + 12)) for i in range(27)}
+    scores = {c: -float(i) for i, c in enumerate(texts)}
+    pool = spark.createDataFrame([(1, c, texts[c], scores[c]) for c in texts], "query_id bigint, chunk_id string, text string, rrf_score double")
+    got = {x["chunk_id"] for x in R.drop_duplicates(pool, threshold=0.8).collect()}
+    assert got == _greedy(texts, scores, 0.8) == {f"c{i:02}" for i in range(0, 27, 2)}
+
+
+def test_drop_duplicates_query_takes_whole_pools(spark, data, tmp_path):
+    import __spark_entry__ as entry
+
+    n = 60
+    hit, chunk = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("hits", "chunks"))
+    h, c = hit.where("run_at is not null and score is not null and leg = 'final'").first().asDict(), chunk.first().asDict()
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(10))
+    spark.createDataFrame([h | {"retriever": "vector", "hit_rank": i, "chunk_id": f"c{i}", "score": 1.0 / i} for i in range(1, n + 1)], hit.schema).write.parquet(f"{tmp_path}/hits.parquet")
+    spark.createDataFrame([c | {"chunk_id": f"c{i}", "text": text(5 if i == n else i)} for i in range(1, n + 1)], chunk.schema).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = [r["chunk_id"] for r in entry.queries()["fuse_drop_duplicates"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(f"c{i}" for i in range(1, n))
+
+
 def test_interleave_and_caps(spark):
     rows = [(1, "en", "e1", 0.9), (1, "en", "e2", 0.8), (1, "de", "d1", 0.7), (1, "fr", "f1", 0.95)]
     df = spark.createDataFrame(rows, "query_id bigint, language string, chunk_id string, rrf_score double")
