@@ -38,7 +38,7 @@ _OPEN, _CLOSE, _INNER = "“„«‘‹¿¡", "”“»’›…", "’‘·–"
 _WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*+[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*")
 _ASKED = re.compile(r"(?<![A-Za-z?])[A-Za-z]*+\?[A-Za-z?]*[A-Za-z][A-Za-z?]*")
 CLEAN = re.compile(f"^(?:[{_OPEN}]*(?:[{_UPPER}]?[{_LOWER}0-9]+|[{_UPPER}0-9]+)(?:[{_INNER}][{_LETTER}0-9]+)*[{_CLOSE}]*|[{_OPEN}{_CLOSE}–—€£§°]+)$")
-#: What any garbled form has: a character that clean words lack, or one that begins a UTF-8 letter in READ_AS.
+#: What any garbled form has, but for some of the chains in SINGLE: a character that clean words lack, or one that begins a UTF-8 letter in READ_AS.
 SUSPECT = re.compile(f"[^\\x00-\\x7F{_LETTER[6:]}{_OPEN}{_CLOSE}{_INNER}—€\\u00AC\\u00AD\\u2010\\u2500-\\u2503\\u2514\\u251C]|\\?|[ÃÂâÅÔ]|\\u00AC.|\\u251C[^\\u2500]")
 
 
@@ -95,8 +95,8 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 @functools.lru_cache(maxsize=1 << 18)
 def _kind(piece: str) -> tuple[bool, bool]:
-    """(clean, suspect)"""
-    return bool(CLEAN.match(piece)), bool(SUSPECT.search(piece))
+    """(clean, suspect); a form of a chain in SINGLE may consist of usual letters and marks only."""
+    return bool(CLEAN.match(piece)), bool(SUSPECT.search(piece)) or len(re.findall("[A-Za-z]", piece)) >= LETTERS
 
 
 @functools.lru_cache(maxsize=1 << 18)
@@ -149,7 +149,7 @@ def garbled_words(blocks: DataFrame) -> DataFrame:
     suspects = there.groupBy("piece").agg(F.count(F.lit(1)).alias("piece_n"))
     clean = counts.select("piece", F.lit(True).alias("clean"))
     hit = suspects.join(table, suspects.piece == table.form).join(clean, "piece", "left")
-    hit = hit.where(F.col("clean").isNull() | ((F.col("word_n") >= TIMES * F.col("piece_n")) & F.col("chain").startswith("utf-8>")))
+    hit = hit.where(F.col("clean").isNull() | (F.col("word_n") >= TIMES * F.col("piece_n")))
     best = hit.groupBy("piece").agg(F.max_by(F.struct("word", "chain", "lost"), F.struct(~F.col("lost"), F.col("word_n"), -F.length("chain"), "word")).alias("as"))
     best = best.select("piece", "as.word", "as.chain", "as.lost")
     return there.join(best, "piece").select("block_id", "piece", "word", "chain", "lost")

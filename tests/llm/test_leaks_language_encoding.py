@@ -111,3 +111,12 @@ def test_garbled_blocks(spark):
     back = {r["block_id"]: r["text"] for r in encoding.restored(blocks).collect()}
     assert back[2] == back[3] == back[4] == back[5] == clean and back[12] == "Der Wächter sah die Größe der Türen"
     assert encoding.garbled_blocks(blocks.limit(0)).count() == 0
+
+
+def test_garbled_words_of_usual_letters(spark):
+    clean = "Die Häuser der Straße, la información y los demás."
+    garbled = ["Die Hõuser", "Die H„user", "der Straáe", "la informaciÛn"]
+    blocks = spark.createDataFrame([(0, clean)] * 30 + list(enumerate(garbled, 1)), "block_id bigint, text string")
+    assert {tuple(r) for r in encoding.garbled_blocks(blocks).collect()} == {(i, "whole") for i in range(1, 5)}
+    back = {r["block_id"]: r["text"] for r in encoding.restored(blocks).collect()}
+    assert back == {1: "Die Häuser", 2: "Die Häuser", 3: "der Straße", 4: "la información"}
