@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -12,6 +11,7 @@ from gristmill.functions import text as T
 from gristmill.operators import grounding as G
 from gristmill.operators import history as H
 from gristmill.plans import retrieval_queries as R
+from gristmill.session import shared_folder
 from gristmill.sources.tables import table
 from gristmill.streaming import ingest as X
 
@@ -30,9 +30,8 @@ def query(sql: str | None = None):
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared checkpoint folder, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gristmill-stream-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT date_trunc('day', occurred_at) AS day, stage, status, count(*)::BIGINT AS n FROM ingest_log WHERE occurred_at IS NOT NULL GROUP BY 1, 2, 3")

@@ -46,16 +46,28 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: that of ``spark.checkpoint.dir``.
+
+    Where it is unset, one machine alone may use a temporary folder; on a cluster its executors
+    would not see each other's, so that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gristmill-")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back with its lineage cut.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is
-    unset (tests, one machine) a temporary folder is chosen. The copy survives the loss of
-    executors, unlike a local checkpoint.
+    The copy survives the loss of executors, unlike a local checkpoint. It is removed once
+    nothing in the session refers to it any more.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gristmill-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    sc._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
