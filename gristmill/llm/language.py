@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.metadata import canonical_language
 from gristmill.session import durable
 
-LEVEL = 6
+LEVEL = 3
 #: Bytes and share of the runner-up's size by which the smallest size must win.
 MARGIN, MARGIN_SHARE = 3, 0.04
 #: Share of the size under a file's main language by which a whole sentence must be smaller under its own to depart from it.
@@ -112,19 +112,22 @@ class Classifier:
         leads = 1 - sizes[np.arange(len(sizes)), langs][:, None] / np.maximum(1, sizes)
         found: list[dict[int, list]] = [{} for _ in texts]
         for k, (i, s, lang, sure) in enumerate(zip(owners, sentences, langs.tolist(), sures.tolist())):
-            f = found[i].setdefault(lang, [0, None, 0.0])
+            f = found[i].get(lang)
+            if f is None:
+                f = found[i][lang] = [0, None, 0.0, False]
             f[0] += len(s)
             f[2] += sure * len(s)
-            if lang >= 0 and is_whole(s):
+            if lang >= 0 and not f[3] and is_whole(s):
                 f[1] = leads[k] if f[1] is None else np.maximum(f[1], leads[k])
+                f[3] = sure >= DEPART  # then it leads every other language by enough
         # too little to tell by sentence: the text as a whole
         short = [i for i, f in enumerate(found) if len(f) == 1 and -1 in f]
         whole, sures, _ = self.judged([telling(" ".join(sentences_of(texts[i]))) for i in short])
         for i, lang, sure in zip(short, whole.tolist(), sures.tolist()):
             if lang >= 0:
                 n = found[i].pop(-1)[0]
-                found[i][lang] = [n, None, sure * n]
-        return [[(LANGUAGES[lang] if lang >= 0 else None, n, None if lead is None else lead.tolist(), c) for lang, (n, lead, c) in f.items()] for f in found]
+                found[i][lang] = [n, None, sure * n, True]
+        return [[(LANGUAGES[lang] if lang >= 0 else None, n, None if lead is None else lead.tolist(), c) for lang, (n, lead, c, _) in f.items()] for f in found]
 
 
 def telling(sentence: str) -> bytes:
