@@ -1,8 +1,8 @@
 r"""Text garbled by decoding with the wrong character encoding.
 
 Every distinct clean word of the corpus that has a character beyond ASCII is written in all the
-garbled forms it can take: encoded in one encoding and read in another, once or twice over, or
-with characters replaced on the way. Documents' tokens are hash-joined against this table of
+garbled forms it can take: encoded in one encoding and read in another, once, twice (in every pair
+of the encodings) or three times over (in the same one), or with characters replaced on the way. Documents' tokens are hash-joined against this table of
 forms. A match is verified by how often word and form occur, and substituted.
 
 Words are runs of letters, digits and characters beyond ASCII; runs of such characters at the
@@ -18,33 +18,72 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.session import durable
 
 #: Encodings as which UTF-8 bytes are read by mistake, and those taken for each other.
-READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")
-SINGLE = ("cp1252", "mac_roman", "cp437", "cp850")
+READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
+SINGLE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 #: How many times as often as its garbled form a word occurs where that form could be a word itself.
 TIMES = 4
-#: ASCII letters a word has at least for the chains that write one character as one other.
+#: Letters a word has at least for its forms by chains that write one character as one other to be evidence by themselves.
+#: Shorter words of this kind are put right where another word of their block shows the chain.
 LETTERS = 3
 
-_LETTER = "A-Za-zàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØŒÙÚÛÜÝ"
-_UPPER = "A-ZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØŒÙÚÛÜÝ"
-_LOWER = "a-zàáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
+#: Letters of Western languages, and marks around and inside words.
+_LETTER = "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØŒÙÚÛÜÝ"
 _OPEN, _CLOSE, _INNER = "“„«‘‹¿¡", "”“»’›…", "’‘·–"
 _WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*+[^\x00-\x7F](?:[A-Za-z0-9]|[^\x00-\x7F])*")
 _ASKED = re.compile(r"(?<![A-Za-z?])[A-Za-z]*+\?[A-Za-z?]*[A-Za-z][A-Za-z?]*")
-CLEAN = re.compile(f"^(?:[{_OPEN}]*(?:[{_UPPER}]?[{_LOWER}0-9]+|[{_UPPER}0-9]+)(?:[{_INNER}][{_LETTER}0-9]+)*[{_CLOSE}]*|[{_OPEN}{_CLOSE}–—€£§°]+)$")
-#: What any garbled form has, but for some of the chains in SINGLE: a character that clean words lack, or one that begins a UTF-8 letter in READ_AS.
-SUSPECT = re.compile(f"[^\\x00-\\x7F{_LETTER[6:]}{_OPEN}{_CLOSE}{_INNER}—€\\u00AC\\u00AD\\u2010\\u2500-\\u2503\\u2514\\u251C]|\\?|[ÃÂâÅÔ]|\\u00AC.|\\u251C[^\\u2500]")
+
+
+def _cased(script: str) -> str:
+    """The pattern of a word of one script: in lower case, with a capital, or in capitals."""
+    up, low, any_ = (f"[\\p{{{x}}}&&\\p{{Script={script}}}]" for x in ("Lu", "Ll", "L"))
+    return f"(?:{up}?(?:{low}|[0-9])+|(?:{up}|[0-9])+)(?:[{_INNER}](?:{any_}|[0-9])+)*"
+
+
+#: A word of one script with usual marks around it, or marks alone.
+CLEAN = regex.compile(f"^(?:[{_OPEN}]*(?:{_cased('Latin')}|{_cased('Greek')}|{_cased('Cyrillic')}|[\\p{{Lo}}\\p{{M}}0-9]+)[{_CLOSE}]*|[{_OPEN}{_CLOSE}–—€£§°]+)$", regex.V1)
+_A_LETTER = regex.compile(r"\p{L}")
+#: What any garbled form has, but for some of the chains in SINGLE: a character that clean words of Western languages lack,
+#: or one that begins a UTF-8 letter in READ_AS.
+SUSPECT = re.compile(f"[^\\x00-\\x7F{_LETTER}{_OPEN}{_CLOSE}{_INNER}—€\\u00AC\\u00AD\\u2010\\u2500-\\u2503\\u2514\\u251C]|\\?|[ÃÂâÅÔ]|\\u00AC.|\\u251C[^\\u2500]")
+
+
+def letters(word: str) -> int:
+    return len(_A_LETTER.findall(word))
+
+
+class _Bytes(dict):
+    """Bytes, as numbers, as a lenient reader of an encoding shows them: what the encoding leaves open keeps its number."""
+
+    def __init__(self, encoding: str):
+        super().__init__((b, bytes([b]).decode(encoding, "ignore") or chr(b)) for b in range(256))
+
+
+class _Misread(dict):
+    """Characters as their UTF-8 bytes read in an encoding, filled as they are asked for."""
+
+    def __init__(self, encoding: str):
+        super().__init__()
+        self.bytes = _BYTES[encoding]
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = chr(code).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes)
+        return out
+
+
+_BYTES = {e: _Bytes(e) for e in {*READ_AS, *SINGLE}}
+_MISREAD = {e: _Misread(e) for e in READ_AS}
 
 
 def _read(data: bytes, encoding: str) -> str:
-    """Bytes as a lenient reader shows them: what the encoding leaves open keeps its number."""
-    return "".join(bytes([b]).decode(encoding, "ignore") or chr(b) for b in data)
+    """Bytes as a lenient reader of an encoding shows them."""
+    return data.decode("latin-1").translate(_BYTES[encoding])
 
 
 def forms(word: str) -> list[tuple[str, str, bool]]:
@@ -59,16 +98,16 @@ def forms(word: str) -> list[tuple[str, str, bool]]:
         if form != word:
             out.setdefault(form, (chain, lost))
 
-    first = {e: _read(data, e) for e in READ_AS}
+    first = {e: word.translate(_MISREAD[e]) for e in READ_AS}
     for e, once in first.items():
         add(once, f"utf-8>{e}", False)
     for e, once in first.items():
-        for e2 in READ_AS[:3]:
-            twice = _read(once.encode("utf-8"), e2)
+        for e2 in READ_AS:
+            twice = once.translate(_MISREAD[e2])
             add(twice, f"utf-8>{e}>utf-8>{e2}", False)
             if e == e2:
-                add(_read(twice.encode("utf-8"), e2), f"utf-8>{e}>utf-8>{e2}>utf-8>{e2}", False)
-    for e in SINGLE if len(re.findall("[A-Za-z]", word)) >= LETTERS else ():
+                add(twice.translate(_MISREAD[e2]), f"utf-8>{e}>utf-8>{e2}>utf-8>{e2}", False)
+    for e in SINGLE:
         try:
             raw = word.encode(e)
         except UnicodeEncodeError:
@@ -85,9 +124,15 @@ def forms(word: str) -> list[tuple[str, str, bool]]:
     return [(f, c, lost) for f, (c, lost) in out.items()]
 
 
+def _evidence(word: str) -> list[tuple[str, str, bool]]:
+    """The forms by which a word is found."""
+    out = forms(word)
+    return out if letters(word) >= LETTERS else [x for x in out if x[2] or x[1].startswith("utf-8")]
+
+
 def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(f, w, n, c, lost) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f, c, lost in forms(w)]
+        rows = [(f, w, n, c, lost) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f, c, lost in _evidence(w)]
         cols = list(zip(*rows)) if rows else [()] * 5
         kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["form", "word", "word_n", "chain", "lost"])
@@ -96,7 +141,7 @@ def _form_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 @functools.lru_cache(maxsize=1 << 18)
 def _kind(piece: str) -> tuple[bool, bool]:
     """(clean, suspect); a form of a chain in SINGLE may consist of usual letters and marks only."""
-    return bool(CLEAN.match(piece)), bool(SUSPECT.search(piece)) or len(re.findall("[A-Za-z]", piece)) >= LETTERS
+    return bool(CLEAN.match(piece)), bool(SUSPECT.search(piece)) or letters(piece) >= LETTERS
 
 
 @functools.lru_cache(maxsize=1 << 18)
@@ -144,7 +189,9 @@ def garbled_words(blocks: DataFrame) -> DataFrame:
     texts = blocks.where("text is not null").select(F.col("block_id").cast("bigint"), "text")
     seen = durable(texts.mapInArrow(_scan, "block_id bigint, piece string, n bigint, suspect boolean"))
     counts = seen.where("not suspect").groupBy("piece").agg(F.sum("n").alias("n"))
-    table = counts.mapInArrow(_form_batches, "form string, word string, word_n bigint, chain string, lost boolean")
+    # spread by number, as each of these few rows becomes some hundred
+    spread = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = counts.repartition(spread).mapInArrow(_form_batches, "form string, word string, word_n bigint, chain string, lost boolean")
     there = seen.where("suspect").select("block_id", "piece").distinct()
     suspects = there.groupBy("piece").agg(F.count(F.lit(1)).alias("piece_n"))
     clean = counts.select("piece", F.lit(True).alias("clean"))
@@ -166,14 +213,18 @@ def garbled_blocks(blocks: DataFrame) -> DataFrame:
     return words.groupBy("block_id").agg(F.when(F.max("lost"), "lost").otherwise("whole").alias("outcome"))
 
 
+@functools.lru_cache(maxsize=None)
+def _back(encoding: str) -> dict[str, int]:
+    return {c: b for b, c in reversed(_BYTES[encoding].items())}
+
+
 def undo(piece: str, chain: str) -> str | None:
     """A piece decoded back along a chain, if every step works out and doing it again gives the piece."""
     steps = chain.split(">")
     text = piece
     try:
         for read, wrote in zip(reversed(steps[1::2]), reversed(steps[0::2])):
-            back = {_read(bytes([b]), read): b for b in range(255, -1, -1)}
-            text = bytes(back[c] for c in text).decode(wrote)
+            text = bytes(_back(read)[c] for c in text).decode(wrote)
     except (KeyError, UnicodeDecodeError, LookupError):
         return None
     return text if any(f == piece for f, c, _ in forms(text) if c == chain) else None

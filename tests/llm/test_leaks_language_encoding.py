@@ -120,3 +120,50 @@ def test_garbled_words_of_usual_letters(spark):
     assert {tuple(r) for r in encoding.garbled_blocks(blocks).collect()} == {(i, "whole") for i in range(1, 5)}
     back = {r["block_id"]: r["text"] for r in encoding.restored(blocks).collect()}
     assert back == {1: "Die Häuser", 2: "Die Häuser", 3: "der Straße", 4: "la información"}
+
+
+def test_long_markup_inside_a_copy_is_no_gap():
+    item = "the velpalith caravan left havriqet with twelve camels and reached savzekor after days without the grimovane guide"
+    ix = leaks.ItemIndex([(1, item)])
+    w = item.split()
+    far = "https://example.test/" + "a" * 900
+    for part in (f"[{w[8]}]({far})", f"[{w[8]}]({far}(b)c \"t\")", f'<a href="{far}" class="x">{w[8]}</a>', f"{w[8]} <!-- {'note ' * 200} -->", f"<{far}> {w[8]}"):
+        found = ix.find(" ".join([*w[:8], part, *w[9:]]))
+        assert [(f[0], f[1], f[2]) for f in found] == [(1, 17, 17)], part
+    assert ix.find(" ".join(w[:8]) + " if a < b and c > d " + " ".join(w[8:]))[0][2] == 17
+
+
+def test_markup_patterns_take_linear_time():
+    import time
+
+    for t in ("<!-- " * 40_000, "<a " + "b " * 200_000, "](" * 100_000, "<a b=" * 60_000, "](x(" * 60_000):
+        began = time.time()
+        leaks.stream(t)
+        assert time.time() - began < 5
+
+
+def test_several_blocks_of_items_are_taken_through_in_one_reading(spark):
+    r = random.Random(9)
+    items = [(i, " ".join(f"q{r.randrange(400)}" for _ in range(20))) for i in range(40)]
+    docs = spark.createDataFrame([(i, f"x {items[i][1]} y {items[(i * 7) % 40][1]}") for i in range(40)], "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, table).collect())
+    assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked_items(docs, table, block_bytes=400, round_chars=300).collect()) == want
+
+
+def test_short_words_other_scripts_and_pairs_of_encodings(spark):
+    clean = "Là où il va, la rivière déborde. Łódź leży w Polsce, Žižek pisze książkę. Привет, новый мир. Die Größe zählt."
+    twice = clean.encode().decode("cp437").encode().decode("cp850")
+    rows = [(0, clean)] * 30 + [(1, "Привет, новый мир.".encode().decode("cp1251", "replace")), (2, "Łódź leży w Polsce".encode().decode("latin-1")), (3, twice), (4, "Là où il va, la rivière déborde.".encode("cp1252").decode("mac_roman")), (5, "là, où")]
+    blocks = spark.createDataFrame(rows, "block_id bigint, text string")
+    got = {r["block_id"]: r["outcome"] for r in encoding.garbled_blocks(blocks).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[2] == got[3] == got[4] == "whole"
+    back = {r["block_id"]: r["text"] for r in encoding.restored(blocks).collect()}
+    assert back[2] == "Łódź leży w Polsce" and back[3] == clean and back[4] == "Là où il va, la rivière déborde."
+
+
+def test_clean_words_of_one_script():
+    for w in ("Łódź", "Žižek", "Привет", "où", "là", "ΑΘΗΝΑ", "Größe", "l’eau", "“Übung”", "日本"):
+        assert encoding.CLEAN.match(w), w
+    for w in ("FlΘche", "Straﬂe".replace("ﬂ", "▀"), "gro├ƒe", "cafÃ©", "РџСЂ"):
+        assert not encoding.CLEAN.match(w), w
