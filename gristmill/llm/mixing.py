@@ -78,7 +78,8 @@ def land(p: list[float], tokens: list[float], due: float) -> list[float]:
     t = np.array(tokens)
     open_ = np.flatnonzero((out > 0.0) & (out < 1.0))
     n = float(out[open_].sum())
-    rest = due - float(out[np.setdiff1d(np.arange(len(out)), open_)] @ t[np.setdiff1d(np.arange(len(out)), open_)])
+    shut = np.setdiff1d(np.arange(len(out)), open_)
+    rest = due - float(out[shut] @ t[shut])
     outcomes = [[k >> j & 1 for j in range(len(open_))] for k in range(1 << len(open_))]
     out[open_] = min(outcomes, key=lambda o: (round(abs(sum(o) - n), 6) >= 1, abs(float(np.dot(o, t[open_])) - rest), o))
     while True:
@@ -86,11 +87,22 @@ def land(p: list[float], tokens: list[float], due: float) -> list[float]:
         used, free = np.flatnonzero(out == 1.0), np.flatnonzero(out == 0.0)
         if abs(off) < 0.5 or not len(used) or not len(free):
             return out.tolist()
-        left = np.abs(off - (t[free][None, :] - t[used][:, None]))
-        i, j = np.unravel_index(int(left.argmin()), left.shape)
-        if left[i, j] >= abs(off) - 1e-9:
+        # for each used record the free ones whose tokens lie on both sides of what would settle it
+        order = free[np.argsort(t[free], kind="stable")]
+        goal = t[used] + off
+        above = np.searchsorted(t[order], goal, "left")
+        best = None
+        for at in (above - 1, above):
+            ok = np.flatnonzero((at >= 0) & (at < len(order)))
+            if len(ok):
+                at = np.searchsorted(t[order], t[order[at[ok]]], "left")  # the first of equal ones
+                left = np.abs(goal[ok] - t[order[at]])
+                k = int(left.argmin())
+                if best is None or (left[k], used[ok[k]], order[at[k]]) < best:
+                    best = (left[k], used[ok[k]], order[at[k]])
+        if best[0] >= abs(off) - 1e-9:
             return out.tolist()
-        out[used[i]], out[free[j]] = 0.0, 1.0
+        out[best[1]], out[best[2]] = 0.0, 1.0
 
 
 def _flight(final: bool, seed: int):

@@ -10,6 +10,7 @@ near the place that lies the overlap before that end.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.tokens import SPACE, UNIT, VOCABULARY, BpeCounter, counter
+from gristmill.llm.tokens import SPACE, UNIT, VOCABULARY, BpeCounter, counter, shipped
 
 #: A piece but the last has at least this share of the limit's tokens where its words allow it.
 FILL = 0.5
@@ -68,8 +69,8 @@ class Splitter:
         """(start, end, tokens) of each piece, in characters of the text.
 
         A text within the limit, or without a limit (null or below 1), is one piece; null and
-        empty texts have none. An overlap that is null or negative is 0; one above a quarter of
-        the limit counts as a quarter, so pieces always move on.
+        empty texts have none. An overlap that is null or negative is 0; one of the limit or more
+        counts as the limit less 1. Pieces always move on, by a word at least.
         """
         if not text:
             return []
@@ -78,7 +79,9 @@ class Splitter:
         total = int((codes >> 8).sum())
         if not limit or limit < 1 or total <= limit:
             return [(0, len(text), total)]
-        overlap = min(max(0, overlap or 0), limit // 4)
+        overlap = min(max(0, overlap or 0), limit - 1)
+        # what a piece has beyond the overlap at least, and how far from its place the overlap may begin
+        least, slack = max(1, int(limit * self.fill), overlap + (limit - overlap) // 4), min(overlap / 4, (limit - overlap) / 8)
         if int((codes >> 8).max()) > max(1, limit // 4):
             part = max(1, limit // 4)
             small = [self._small(u, part) if c >> 8 > part else [u] for u, c in zip(units, codes.tolist())]
@@ -110,16 +113,17 @@ class Splitter:
                 pieces.append((int(at[i]), int(at[n]), int(cum[n] - cum[i])))
                 return self._exact(text, pieces, limit) if inner is not None else pieces
             hi = int(np.searchsorted(cum, cum[i] + limit, "right")) - 1
-            lo = int(np.searchsorted(cum, cum[i] + max(1, int(limit * self.fill)), "left"))
+            lo = int(np.searchsorted(cum, cum[i] + least, "left"))
             hi = max(hi, done + 1, i + 1)
             lo = min(max(lo, done + 1, i + 1), hi)
             j = best(lo, hi)
             pieces.append((int(at[i]), int(at[j]), int(cum[j] - cum[i])))
             done = j
             if overlap:
-                a = int(np.searchsorted(cum, cum[j] - overlap * 5 // 4, "left"))
-                b = int(np.searchsorted(cum, cum[j] - overlap * 3 // 4, "right")) - 1
-                a = max(a, i + 1)
+                a = int(np.searchsorted(cum, math.floor(cum[j] - overlap - slack), "left"))
+                b = int(np.searchsorted(cum, math.floor(cum[j] - overlap + slack), "right")) - 1
+                fits = int(np.searchsorted(cum, cum[j + 1] - limit, "left"))  # from here the next word is within the limit
+                a = max(a, i + 1, fits)
                 i = best(a, max(a, b)) if a < j else j
             else:
                 i = j
@@ -131,6 +135,10 @@ class Splitter:
             todo = [(a, b)]
             while todo:
                 x, y = todo.pop()
+                if out and y <= out[-1][1]:
+                    continue  # half of a piece, all of which the one before it holds
+                if out and x <= out[-1][0]:
+                    x = out[-1][1]
                 n = self.tokens.count(text[x:y])
                 if n <= limit or y - x == 1:
                     out.append((x, y, n))
@@ -171,6 +179,6 @@ def split_documents(documents: DataFrame, limits: DataFrame, path: str = VOCABUL
     several limits of one source the smallest holds.
     """
     cap = limits.groupBy("source").agg(F.min("max_tokens").alias("max_tokens"), F.min("overlap_tokens").alias("overlap_tokens"))
-    rows = documents.select("doc_id", "source", "text").join(cap, "source", "left")
+    rows = shipped(documents, path).select("doc_id", "source", "text").join(cap, "source", "left")
     schema = "doc_id bigint, source string, piece_no int, pieces int, start int, `end` int, tokens int" + ", text string" * with_text
     return rows.select(F.col("doc_id").cast("bigint"), "source", "text", "max_tokens", "overlap_tokens").mapInArrow(_cut(path, fill, with_text, ["source"]), schema)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -122,11 +123,25 @@ class BpeCounter:
 
 @functools.lru_cache(maxsize=4)
 def counter(path: str = VOCABULARY) -> BpeCounter:
-    """The counter of a rank file, compiled once in each worker."""
+    """The counter of a rank file, compiled once in each worker. A worker takes the copy that ``shipped`` sent it."""
+    from pyspark import SparkFiles
+
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as f:
         return BpeCounter({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
+def shipped(df: DataFrame, path: str) -> DataFrame:
+    """df, once the vocabulary has been sent to the executors, so that it need not be installed there."""
+    sc = df.sparkSession.sparkContext
+    sent = sc.__dict__.setdefault("_gristmill_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return df
+
+
 def _count_batches(path: str, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
@@ -142,7 +157,7 @@ def with_tokens(df: DataFrame, text: str, *keys: str, path: str = VOCABULARY) ->
 
     Null and empty texts have 0 tokens. Key columns may not be called ``tokens`` or ``_text``.
     """
-    slim = df.select(*keys, F.col(text).alias("_text"))
+    slim = shipped(df, path).select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "_text")
     return slim.mapInArrow(_count_batches(path, list(keys)), f"{schema}, tokens bigint")
 
@@ -171,7 +186,7 @@ def file_tokens(blocks: DataFrame, path: str = VOCABULARY) -> DataFrame:
     sends a row per batch. Null texts count as blocks of 0 tokens; blocks of a null file_id
     come out under null.
     """
-    part = blocks.select("file_id", "text").mapInArrow(_per_file(path), "file_id bigint, blocks bigint, tokens bigint")
+    part = shipped(blocks, path).select("file_id", "text").mapInArrow(_per_file(path), "file_id bigint, blocks bigint, tokens bigint")
     return part.groupBy("file_id").agg(F.sum("blocks").alias("blocks"), F.sum("tokens").alias("tokens"))
 
 

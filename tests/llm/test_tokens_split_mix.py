@@ -144,3 +144,36 @@ def test_mix_shares_caps_and_edges(spark, reference):
     again = {x["doc_id"]: x["repeats"] for x in mixing.mix(docs, src)[0].collect()}
     assert again == {x["doc_id"]: x["repeats"] for x in mixing.mix(docs, src)[0].collect()}
     assert mixing.mix(docs.limit(0), src)[0].count() == 0 and all(x["used_tokens"] == 0 for x in mixing.mix(docs.limit(0), src)[1].collect())
+
+
+@pytest.mark.parametrize("limit,overlap", [(100, 60), (100, 90), (40, 39)])
+def test_large_overlaps_are_kept(reference, limit, overlap):
+    c, _ = reference
+    t = " ".join(["one two three four five six seven, eight nine ten."] * 60)
+    p = splitting.Splitter(c).split(t, limit, overlap)
+    shared = [c.count(t[y[0] : x[1]]) for x, y in zip(p, p[1:])]
+    assert all(n <= limit for _, _, n in p) and p[-1][1] == len(t)
+    assert all(x[1] > y[0] and y[0] > x[0] and y[1] > x[1] for x, y in zip(p, p[1:]))
+    slack = min(overlap / 4, (limit - overlap) / 8)
+    assert all(abs(n - overlap) <= slack + 4 for n in shared)
+
+
+def test_landing_finds_the_best_swap_and_takes_little_memory():
+    import tracemalloc
+
+    r = random.Random(6)
+    for n in (6, 30):
+        t = [float(r.randint(1, 40)) for _ in range(n)]
+        p = [float(r.random() < 0.5) for _ in range(n)]
+        due = sum(t) / 2 + 0.3
+        got = mixing.land(p, t, due)
+        assert sum(got) == sum(p)
+        swaps = [abs(due - sum(x * y for x, y in zip(got, t)) - (t[j] - t[i])) for i in range(n) for j in range(n) if got[i] == 1 and got[j] == 0]
+        off = abs(due - sum(x * y for x, y in zip(got, t)))
+        assert off < 0.5 or not swaps or min(swaps) >= off - 1e-6  # no swap would come nearer
+    t = [float(r.randint(1, 5000)) for _ in range(20_000)]
+    p = [float(i % 2) for i in range(20_000)]
+    tracemalloc.start()
+    mixing.land(p, t, sum(t) / 2 + 777.0)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
