@@ -163,43 +163,43 @@ def pieces(text: str) -> set[str]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suspect words with their block, and clean words counted by batch without one."""
+    """A row for each distinct word of a batch: how often it stands there as a clean word, and the blocks where it is suspect."""
     for b in batches:
-        ids, words, ns = [], [], []
-        clean: Counter = Counter()
+        words: dict[str, list] = {}
         for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for p in pieces(text) if text else ():
                 is_clean, suspect = _kind(p)
-                if suspect:
-                    ids.append(block), words.append(p), ns.append(0)
-                if is_clean:
-                    clean[p] += 1
-        n = len(ids)
-        arrays = [pa.array(ids + [None] * len(clean), pa.int64()), pa.array(words + list(clean), pa.string()), pa.array(ns + list(clean.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays + [pa.array([True] * n + [False] * len(clean), pa.bool_())], names=["block_id", "piece", "n", "suspect"])
+                if is_clean or suspect:
+                    row = words.get(p)
+                    if row is None:
+                        row = words[p] = [0, []]
+                    row[0] += is_clean
+                    if suspect:
+                        row[1].append(block)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(words), pa.string()), pa.array([n for n, _ in words.values()], pa.int64()), pa.array([x for _, x in words.values()], pa.list_(pa.int64()))],
+            names=["piece", "n", "blocks"],
+        )
 
 
 def garbled_words(blocks: DataFrame) -> DataFrame:
     """(block_id, piece, word, chain, lost): each garbled word of each block with its original.
 
     For a form of several words the one that most often occurs is taken, then the first in
-    order of the alphabet. The texts are read once: their suspect words and the counts of clean
-    ones, far smaller than the texts, are written down and used from there.
+    order of the alphabet. The texts are read once: their suspect words with the blocks they
+    stand in, and the counts of clean ones, a row for each word of a batch, are written down
+    and used from there.
     """
     texts = blocks.where("text is not null").select(F.col("block_id").cast("bigint"), "text")
-    seen = durable(texts.mapInArrow(_scan, "block_id bigint, piece string, n bigint, suspect boolean"))
-    counts = seen.where("not suspect").groupBy("piece").agg(F.sum("n").alias("n"))
+    seen = durable(texts.mapInArrow(_scan, "piece string, n bigint, blocks array<bigint>"))
+    counts = seen.groupBy("piece").agg(F.sum("n").alias("n"), F.sum(F.size("blocks")).alias("piece_n"))
     # spread by number, as each of these few rows becomes some hundred
     spread = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = counts.repartition(spread).mapInArrow(_form_batches, "form string, word string, word_n bigint, chain string, lost boolean")
-    there = seen.where("suspect").select("block_id", "piece").distinct()
-    suspects = there.groupBy("piece").agg(F.count(F.lit(1)).alias("piece_n"))
-    clean = counts.select("piece", F.lit(True).alias("clean"))
-    hit = suspects.join(table, suspects.piece == table.form).join(clean, "piece", "left")
-    hit = hit.where(F.col("clean").isNull() | (F.col("word_n") >= TIMES * F.col("piece_n")))
+    table = counts.where("n > 0").select("piece", "n").repartition(spread).mapInArrow(_form_batches, "form string, word string, word_n bigint, chain string, lost boolean")
+    hit = counts.where("piece_n > 0").join(table, F.col("piece") == F.col("form")).where(f"n = 0 or word_n >= {TIMES} * piece_n")
     best = hit.groupBy("piece").agg(F.max_by(F.struct("word", "chain", "lost"), F.struct(~F.col("lost"), F.col("word_n"), -F.length("chain"), "word")).alias("as"))
     best = best.select("piece", "as.word", "as.chain", "as.lost")
-    return there.join(best, "piece").select("block_id", "piece", "word", "chain", "lost")
+    return seen.where(F.size("blocks") > 0).join(best, "piece").select(F.explode("blocks").alias("block_id"), "piece", "word", "chain", "lost").distinct()
 
 
 def garbled_blocks(blocks: DataFrame) -> DataFrame:
