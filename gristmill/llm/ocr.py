@@ -1,8 +1,10 @@
 """Noise in text from scanned pages: cut words, misread characters, running lines and page numbers.
 
 Misread words are words of pages that text without pages hardly knows. Candidates for them come
-from an inverted join on character q-grams (at the start, the end and the middle of a word, with
-its length), and a gradient-boosted ranking picks the replacement. Line pairs are judged by two
+from an inverted join on character q-grams. The grams are those of the word with characters that
+scanners confuse taken as one, so any number of known misreadings leaves all of them, and one
+other change leaves all but a few: the rarest few more than that, of each word, go to the join.
+A gradient-boosted ranking picks the replacement. Line pairs are judged by two
 small classifiers: whether the end of one line and the start of the next are one word, and
 whether a line at the top or foot of a page runs on through the pages around it. All three
 models are trained on made-up noise (``python -m gristmill.llm.ocr_train``) and kept in
@@ -17,6 +19,7 @@ import math
 import os
 import pkgutil
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -177,16 +180,12 @@ def distance(right: str, seen: str) -> float:
     j = 0
     while j < min(len(right), len(seen)) - i and right[-1 - j] == seen[-1 - j]:
         j += 1
-    if len(a_ := right[i : len(right) - j]) == len(b_ := seen[i : len(seen) - j]) and len(a_) > 4 and sum(x != y for x, y in zip(a_, b_)) > 6:
-        return 9.0
     # one more character on each side, as misreadings of two characters may share one with what was read
     a, b = right[i : len(right) - j], seen[i : len(seen) - j]
     if (a, b) in _PAIRS:
         return 0.3
     lo, hi = max(0, i - 1), max(0, j - 1)
     a, b = right[lo : len(right) - hi], seen[lo : len(seen) - hi]
-    if len(a) > 12 or len(b) > 12:
-        return 9.0
     best = [[99.0] * (len(b) + 1) for _ in range(len(a) + 1)]
     best[0][0] = 0.0
     for x in range(len(a) + 1):
@@ -225,36 +224,87 @@ def rank_features(seen: str, right: str, seen_clean: int, seen_paged: int, right
     ]
 
 
-def keys(word: str, n: int | None = None) -> list[str]:
-    """The q-grams, with their place, by which a word is looked up among right words of n letters (its own number if not given).
+#: What characters become where those that scanners confuse, alone or two for one, are the same.
+_SAME = {
+    "i": "I", "!": "I", "l": "I", "1": "I", "|": "I", "h": "II", "b": "II", "6": "II", "8": "II", "é": "II", "ó": "II", "ü": "II",
+    "r": "R", "n": "N", "u": "N", "m": "RN", "v": "V", "w": "VV", "c": "C", "e": "C", "d": "CI", "a": "O", "o": "O", "0": "O",
+    "t": "T", "f": "T", "ﬁ": "TI", "ﬂ": "TI", "s": "S", "5": "S", "g": "G", "q": "G", "9": "G", "z": "Z", "2": "Z",
+}
+_SAME_TABLE = str.maketrans(_SAME)
+#: Symbols that one change of another kind may touch, on either side.
+TOUCHED = 2
+#: Numbers under which the frequencies of grams are kept; what is sent to the workers has so many.
+BUCKETS = 1 << 16
+
+
+def alike(word: str) -> str:
+    """The word with characters that scanners confuse taken as one."""
+    return word.translate(_SAME_TABLE)
+
+
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BUCKETS
+
+
+def _q(n: int) -> int:
+    return 2 if n < 8 else 3
 
-    q and the middle are those of n letters, so that a misreading that changes a word's length
-    leaves it a gram in common with the right word. Words of four and six letters also have both
-    their ends as one gram, as two letters in the middle touch each of the others.
+
+def _grams(word: str, q: int) -> set[str]:
+    s = f"^{alike(word)}$"
+    return {s[i : i + q] for i in range(len(s) - q + 1)}
+
+
+class Grams:
+    """The keys by which words are looked up, given how often right words have the grams of each bucket.
+
+    A key is a gram and the length of the right word, both with confused characters taken as one. One
+    change that touches TOUCHED symbols destroys at most q + TOUCHED - 1 grams, so of two words that
+    are so near each other the q + TOUCHED rarest grams have one in common.
     """
-    n = n or len(word)
-    q = 1 if n < 4 else 2 if n < 6 else 3
-    m = n // 2
-    out = [f"^{word[:q]}", f"${word[-q:]}"]
-    if n > 5:
-        at = len(word) - m - 1
-        out += [f"~{word[m - 1 : m + 2]}", f"-{word[at : at + 3]}"]
-    if n in (4, 6):
-        out.append(f"={word[: m - 1]}{word[1 - m :]}")
-    return out
+
+    def __init__(self, often):
+        self.often = often
+
+    def _rarest(self, word: str, n: int) -> list[str]:
+        q = _q(n)
+        return [f"{n}{g}" for g in sorted(_grams(word, q), key=lambda g: (self.often[_bucket(g)], g))[: q + TOUCHED]]
+
+    def right(self, word: str) -> list[str]:
+        return self._rarest(word, len(alike(word)))
+
+    def seen(self, word: str) -> list[str]:
+        n = len(alike(word))
+        return [k for m in range(max(1, n - TOUCHED), n + TOUCHED + 1) for k in self._rarest(word, m)]
 
 
-def _keyed(rows: DataFrame, spread: int, columns: list[str]) -> DataFrame:
-    """A row for each length that may match ``word`` and q-gram of it for that length."""
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n: Counter = Counter()
+        for w in b.column(0).to_pylist():
+            n.update(_bucket(g) for g in _grams(w, _q(len(alike(w)))))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["bucket", "n"])
+
+
+def grams_of(words: DataFrame) -> Grams:
+    """The keys for right words (word): what is sent to the driver is bounded by BUCKETS."""
+    often = [0] * BUCKETS
+    for r in words.select("word").mapInArrow(_gram_counts, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        often[r["bucket"]] = r["n"]
+    return Grams(often)
+
+
+def _keyed(rows: DataFrame, shared, side: str, columns: list[str]) -> DataFrame:
+    """A row for each key of ``word``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = getattr(Grams(shared.value), side)
         for b in batches:
             take, out = [], []
             for i, w in enumerate(b.column("word").to_pylist()):
-                for n in range(max(1, len(w) - spread), len(w) + spread + 1):
-                    for k in keys(w, n):
-                        take.append(i)
-                        out.append(f"{n}{k}")
+                k = keys(w)
+                take += [i] * len(k)
+                out += k
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in columns] + [pa.array(out, pa.string())], names=[*columns, "gram"])
 
@@ -263,11 +313,25 @@ def _keyed(rows: DataFrame, spread: int, columns: list[str]) -> DataFrame:
     return slim.mapInArrow(run, f"{schema}, gram string")
 
 
+def may_be(right: str, seen: str) -> bool:
+    """Whether the two are alike but for at most TOUCHED symbols in one place."""
+    a, b = alike(right), alike(seen)
+    if abs(len(a) - len(b)) > TOUCHED:
+        return False
+    i, most = 0, min(len(a), len(b))
+    while i < most and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < most - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return max(len(a), len(b)) - i - j <= TOUCHED
+
+
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = model()
     for b in batches:
         cols = [c.to_pylist() for c in b.columns]
-        near = [(*r, d) for r in zip(*cols) if (d := distance(r[3], r[0])) <= 1.3]
+        near = [(*r, d) for r in zip(*cols) if may_be(r[3], r[0]) and (d := distance(r[3], r[0])) <= 1.3]
         x = np.array([rank_features(s, r, sc, sp, rc, rp, d) for s, sc, sp, r, rc, rp, d in near], np.float64).reshape(-1, 10)
         score = m["rank"].score(x) if len(near) else np.zeros(0)
         keep = [(r[0], r[3], float(s)) for r, s in zip(near, score) if s >= m["rank_at"]]
@@ -283,10 +347,11 @@ def corrections(counts: DataFrame, suspects: DataFrame) -> DataFrame:
     alphabet is taken.
     """
     s = suspects.select("word", F.col("clean").alias("sc"), F.col("paged").alias("sp"))
-    # what is right is more frequent than its misreadings and known outside pages
-    v = counts.where("clean >= 2 and not word rlike '[0-9!|]'")
-    left = _keyed(s, 1, ["word", "sc", "sp"])
-    right = _keyed(v, 0, ["word", "clean", "paged"]).select(F.col("word").alias("right"), F.col("clean").alias("rc"), F.col("paged").alias("rp"), "gram")
+    # what is right is known outside pages, and more frequent there than its misreadings
+    v = counts.where("clean > 0 and not word rlike '[0-9!|]'")
+    shared = counts.sparkSession.sparkContext.broadcast(grams_of(v).often)
+    left = _keyed(s, shared, "seen", ["word", "sc", "sp"])
+    right = _keyed(v, shared, "right", ["word", "clean", "paged"]).select(F.col("word").alias("right"), F.col("clean").alias("rc"), F.col("paged").alias("rp"), "gram")
     pairs = left.join(right, "gram").where("word <> right and rc > sc").select("word", "sc", "sp", "right", "rc", "rp").distinct()
     ranked = pairs.mapInArrow(_ranked, "word string, right string, score double")
     return ranked.groupBy("word").agg(F.max_by("right", F.struct("score", "right")).alias("right"))
@@ -334,7 +399,7 @@ def _page_word(word: str) -> bool:
 def number_of(line: str) -> int | None:
     """The page's number if the line holds only that, in any dress."""
     s = line.strip().lower()
-    if not s or len(s) > 40 or re.search(r"[^\w\s\-–—.|/()\[\]·•*~:!]", s):
+    if not s or re.search(r"[^\w\s\-–—.|/()\[\]·•*~:!]", s):
         return None
     parts = _PARTS.findall(s)
     if not parts or len(parts) > 4 or not any(_NUMBER.match(x) for x in parts):
@@ -580,10 +645,11 @@ def noise(blocks: DataFrame) -> DataFrame:
     inside = inside.join(taken, ["block_id", "line"], "left_anti")  # neither line may be furniture
     cuts = inside.unionByName(over)
     distinct = cuts.select("a", "mark", "b").distinct()
-    n = counts.select("word", (F.col("clean") + F.col("paged")).alias("n"))
-    for name, key in (("nj", F.concat("a", "b")), ("nh", F.concat("a", F.lit("-"), "b")), ("na", F.col("a")), ("nc", F.col("b")), ("ns", F.concat("a", F.lit("-")))):
-        distinct = distinct.withColumn("_key", key).join(n.select(F.col("word").alias("_key"), F.col("n").alias(name)), "_key", "left").drop("_key")
-    distinct = durable(distinct.fillna(0, ["nj", "nh", "na", "nc", "ns"]))
+    n = counts.select(F.col("word").alias("_key"), (F.col("clean") + F.col("paged")).alias("n"))
+    asked = {"nj": F.concat("a", "b"), "nh": F.concat("a", F.lit("-"), "b"), "na": F.col("a"), "nc": F.col("b"), "ns": F.concat("a", F.lit("-"))}
+    each = distinct.select("a", "mark", "b", F.explode(F.array(*[F.struct(F.lit(k).alias("what"), c.alias("_key")) for k, c in asked.items()])).alias("k")).select("a", "mark", "b", "k.what", "k._key")
+    known = each.join(n, "_key", "left").groupBy("a", "mark", "b")
+    distinct = durable(known.agg(*[F.coalesce(F.max(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k) for k in asked]))
 
     # misread words, and joined words that nothing knows
     odd = counts.where(F.col("clean") * RATIO < F.col("paged"))
@@ -623,11 +689,12 @@ def _like(word: str, model_: str) -> str:
     return word[:1].upper() + word[1:] if model_[:1].isupper() else word
 
 
-def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]]) -> str:
-    """The continuous text of a file's pages in order, with their noise taken out.
+def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]], begun: bool = False) -> tuple[str, bool]:
+    """The continuous text of a file's pages in order, with their noise taken out, and whether its last paragraph goes on after them.
 
     pages: (text, [(line, kind, seen, word)]). Lines of a paragraph are joined; an empty line
-    starts a new one, the end of a page doesn't unless the sentence has ended there.
+    starts a new one, the end of a page doesn't unless the sentence has ended there. begun: the
+    first word of the first page is the rest of one that the pages before these hold whole.
     """
     paragraphs: list[str] = []
     open_ = ""
@@ -655,6 +722,11 @@ def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]]
                     open_ = ""
                 continue
             tokens = line.split()
+            if begun and tokens:
+                rest = tokens[0].rstrip(_STRIP)
+                tokens[0] = tokens[0][len(rest) :]
+                tokens = tokens if tokens[0] else tokens[1:]
+                begun = False
             if carry and tokens:
                 rest = tokens[0].rstrip(_STRIP)
                 tokens[0] = _like(carry[1], carry[0]) + tokens[0][len(rest) :]
@@ -678,7 +750,7 @@ def repair_pages(pages: list[tuple[str | None, list[tuple[int, str, str, str]]]]
         open_ = f"{open_} {carry[1]}".strip()
     if open_:
         paragraphs.append(open_)
-    return "\n\n".join(paragraphs)
+    return "\n\n".join(paragraphs), bool(open_)
 
 
 #: Blocks of one file that are put together in one task; of longer files each run of so many gives a part.
@@ -686,26 +758,49 @@ PART = 2_000
 
 
 def repaired(blocks: DataFrame) -> DataFrame:
-    """(file_id, part, pages, text): each file's pages as continuous text in readable paragraphs.
+    """(file_id, part, pages, text, goes_on): each file's pages as continuous text in readable paragraphs.
 
-    A file of more than PART blocks comes in parts, so that no task holds an unbounded file; a
-    word cut between two parts stays in the first. Files without pages have no row.
+    A file of more than PART blocks comes in parts, so that no task holds an unbounded file. A
+    word cut between two parts stands whole in the first and not in the second; goes_on says that
+    the last paragraph goes on in the next part. Files without pages have no row.
     """
-    marks = noise(blocks).groupBy("block_id").agg(F.collect_list(F.struct("line", "kind", "seen", "word")).alias("marks"))
-    pages = (
-        blocks.where("page_number > 0 and text is not null")
-        .select(F.col("file_id").cast("bigint"), F.col("block_id").cast("bigint"), "page_number", "block_no", "text", F.floor(F.coalesce("block_no", F.lit(0)) / PART).cast("int").alias("part"))
-        .join(marks, "block_id", "left")
-    )
+    found = noise(blocks)
+    marks = found.groupBy("block_id").agg(F.collect_list(F.struct("line", "kind", "seen", "word")).alias("marks"))
+    place = [F.col("file_id").cast("bigint").alias("file_id"), F.col("block_id").cast("bigint").alias("block_id"), "page_number", "block_no", F.floor(F.coalesce("block_no", F.lit(0)) / PART).cast("int").alias("part")]
+    paged = blocks.where("page_number > 0 and text is not null")
+    pages = paged.select(*place, "text").join(marks, "block_id", "left")
     row = F.struct("page_number", "block_no", "block_id", "text", "marks")
     grouped = pages.groupBy("file_id", "part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # the last page of a part, where a word cut over to the next page may stand; pages that end one are few
+    ends = paged.select(*place).groupBy("file_id", "part").agg(F.max(F.struct("page_number", "block_no", "block_id")).alias("last")).select("file_id", (F.col("part") + 1).alias("part"), F.col("last.block_id").alias("block_id"))
+    ends = ends.join(paged.select(*place).select("file_id", "part").distinct(), ["file_id", "part"], "left_semi")
+    over = found.where("kind = 'hyphen'").groupBy("block_id").agg(F.max("line").alias("line"))
+    begun = ends.join(over.join(_last_lines(paged.join(ends.select(F.col("block_id").alias("_b")), F.col("block_id") == F.col("_b"), "left_semi"), found), ["block_id", "line"]), "block_id").select("file_id", "part", F.lit(True).alias("begun"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts = [], []
-            for rows in b.column("rows").to_pylist():
+            texts, counts, on = [], [], []
+            for rows, starts in zip(b.column("rows").to_pylist(), b.column("begun").to_pylist()):
                 counts.append(len(rows))
-                texts.append(repair_pages([(r["text"], [(m["line"], m["kind"], m["seen"], m["word"]) for m in r["marks"] or []]) for r in rows]))
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("part"), pa.array(counts, pa.int32()), pa.array(texts, pa.string())], names=["file_id", "part", "pages", "text"])
+                text, goes_on = repair_pages([(r["text"], [(m["line"], m["kind"], m["seen"], m["word"]) for m in r["marks"] or []]) for r in rows], bool(starts))
+                texts.append(text), on.append(goes_on)
+            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("part"), pa.array(counts, pa.int32()), pa.array(texts, pa.string()), pa.array(on, pa.bool_())], names=["file_id", "part", "pages", "text", "goes_on"])
+
+    return grouped.join(begun, ["file_id", "part"], "left").mapInArrow(run, "file_id bigint, part int, pages int, text string, goes_on boolean")
 
-    return grouped.mapInArrow(run, "file_id bigint, part int, pages int, text string")
+
+def _last_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """(block_id, line): the last line with text of each page that is not furniture."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            take, lines = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                foot = edges(text.split("\n"))[1] if text else []
+                take += [i] * len(foot)
+                lines += foot
+            yield pa.RecordBatch.from_arrays([b.column("block_id").take(pa.array(take, pa.int64())), pa.array(lines, pa.int32())], names=["block_id", "line"])
+
+    feet = pages.select(F.col("block_id").cast("bigint"), "text").mapInArrow(run, "block_id bigint, line int")
+    off = found.where("kind in ('header', 'page_no')").select("block_id", "line")
+    return feet.join(off, ["block_id", "line"], "left_anti").groupBy("block_id").agg(F.max("line").alias("line"))

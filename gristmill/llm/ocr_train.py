@@ -16,7 +16,7 @@ from gristmill.llm.language import COMMON
 def vocabulary(r: random.Random) -> dict[str, int]:
     """Words of the package's own tables with made-up counts."""
     words: set[str] = set()
-    for text in [*COMMON.values(), *["\n".join(x.split("|")) for x in pii_table.GOING_ON.values()], *pii_table.LINES.values(), *pii_table.OPENERS.values(), *pii_table.NOUNS.values()]:
+    for text in [*COMMON.values(), *pii_table.LINES.values()]:
         words |= {w.lower() for w in re.findall(r"[^\W\d_]{2,}", re.sub(r"\{\w+\}|<\w+>", " ", text))}
     out = {w: int(10 ** r.uniform(0.5, 4.5)) for w in sorted(words)}
     for _ in range(400):
@@ -24,29 +24,39 @@ def vocabulary(r: random.Random) -> dict[str, int]:
     return out
 
 
-def misread(w: str, r: random.Random) -> str | None:
+def misread(w: str, r: random.Random, times: int = 1) -> str | None:
+    """The word with some of its letters misread, each once, or none if none of them can be."""
     places = [(m.start(), a, b) for a, bs in ocr.MISREAD.items() for b in bs for m in re.finditer(re.escape(a), w)]
-    if not places:
-        return None
-    i, a, b = r.choice(places)
-    return (w[:i] + b + w[i + len(a) :]).lower()
+    r.shuffle(places)
+    taken: list[tuple[int, str, str]] = []
+    for i, a, b in places:
+        if len(taken) < times and all(i + len(a) <= j or j + len(c) <= i for j, c, _ in taken):
+            taken.append((i, a, b))
+    for i, a, b in sorted(taken, reverse=True):
+        w = w[:i] + b + w[i + len(a) :]
+    return w.lower() if taken else None
 
 
 def rank_rows(r: random.Random, missed: list[tuple[str, str]] | None = None):
     """missed: gets (right, seen) of each misreading whose lookup lacks its right word."""
     v = vocabulary(r)
+    often = [0] * ocr.BUCKETS
+    for w in v:
+        for g in ocr._grams(w, ocr._q(len(ocr.alike(w)))):
+            often[ocr._bucket(g)] += 1
+    keys = ocr.Grams(often)
     by: dict[str, list[str]] = {}
     for w in v:
-        for k in ocr.keys(w):
-            by.setdefault(f"{len(w)}{k}", []).append(w)
+        for k in keys.right(w):
+            by.setdefault(k, []).append(w)
 
     def near(s):
-        return {w for n in range(max(1, len(s) - 1), len(s) + 2) for k in ocr.keys(s, n) for w in by.get(f"{n}{k}", ()) if w != s and ocr.distance(w, s) <= 1.3}
+        return {w for k in keys.seen(s) for w in by.get(k, ()) if w != s and ocr.may_be(w, s) and ocr.distance(w, s) <= 1.3}
 
     x, y = [], []
     for w, n in v.items():
         for _ in range(6):
-            s = misread(w, r)
+            s = misread(w, r, r.choice([1, 1, 1, 2, 3]) if len(w) > 5 else 1)
             if s is None or s in v or n < 3:
                 continue
             seen = max(1, int(n * 10 ** r.uniform(-3.3, -1.2)))
