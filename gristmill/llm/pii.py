@@ -1,7 +1,7 @@
 """Personal information in free text: found by a conditional random field and replaced by its type.
 
 A text is read as tokens. Each token has features of its shape, its affixes, the word itself and
-the white space before it; a linear-chain conditional random field scores the labels of a token
+the kind of stretch without spaces it stands in (one with an @ or of a link); a linear-chain conditional random field scores the labels of a token
 by the features of the five tokens around it and by the label before. The weights are trained
 from the labelled table in ``pii_table`` (``python -m gristmill.llm.pii_train``) and kept in
 ``pii_weights.npz``. The scores of a distinct token are looked up once for all its occurrences,
@@ -27,14 +27,18 @@ from pyspark.sql import functions as F
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Tokens on each side whose features a label sees.
-REACH = 2
+REACH = 3
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 #: Distinct tokens a worker remembers before it starts afresh (about 350 bytes each).
 REMEMBERED = 200_000
-#: Tokens that are decoded in one sequence at most.
-LONGEST = 20_000
-
-_TOKEN = re.compile(r"[^\W_]+|\s*\n\s*|[^\w\s]|_")
+#: Tokens that are decoded in one sequence; longer texts are gone through in such stretches, each sharing SHARED tokens
+#: with the next. Two stretches are joined where both have no item; where there is no such place they are decoded as one.
+LONGEST, SHARED = 4_000, 400
+
+#: Words, line breaks, marks; the sign for "number" with its point is one token.
+_TOKEN = re.compile(r"(?<![^\W_])[Nn](?:[or]\.|\.?[º°])|[^\W_]+|\s*\n\s*|[^\w\s]|_")
+_CHUNK = re.compile(r"\S*@\S*|\S*://\S*")
+_IN_EMAIL = re.compile(r"[\w.+%-]+")
 _LONG_NUMBER = re.compile(r"\d{4,}")
 _ALLOWED = np.zeros((len(LABELS), len(LABELS)), bool)
 for _i, _a in enumerate(LABELS):
@@ -44,13 +48,36 @@ for _i, _a in enumerate(LABELS):
 
 def _key(token: str) -> str:
     """A token as its features see it: long numbers by their first two digits and their length."""
+    if "\0" in token:
+        word, _, chunk = token.partition("\0")
+        return f"{_key(word)}\0{chunk}"
     if "\n" in token:
         return "\n\n" if token.count("\n") > 1 else "\n"
     return _LONG_NUMBER.sub(lambda m: m.group()[:2] + "#" * (len(m.group()) - 2), token) if len(token) > 3 and not token.isalpha() else token
 
 
+def read(text: str) -> tuple[list[str], list[str], list[int] | None]:
+    """(tokens, the same with the kind of chunk they are of, number of the chunk) of a text; the last is none where there is no chunk."""
+    if "@" not in text and "://" not in text:
+        tokens = _TOKEN.findall(text)
+        return tokens, tokens, None
+    tokens, keys, chunks, at = [], [], [], 0
+    for k, m in enumerate(_CHUNK.finditer(text), 1):
+        before, inside = _TOKEN.findall(text[at : m.start()]), _TOKEN.findall(m.group())
+        kind = "u" if "://" in m.group() else "@" if re.search(r"\w@\w", m.group()) else "h"
+        tokens += before + inside
+        keys += before + [f"{t}\0{kind}" for t in inside]
+        chunks += [0] * len(before) + [k] * len(inside)
+        at = m.end()
+    rest = _TOKEN.findall(text[at:])
+    return tokens + rest, keys + rest, chunks + [0] * len(rest)
+
+
 def features(key: str) -> list[str]:
     """The features of a token."""
+    key, _, chunk = key.partition("\0")
+    if chunk:
+        return [*features(key), f"c{chunk}", f"c{chunk}{key if not key.isalnum() else ''}"]
     if key in ("\n", "\n\n", ""):
         return [f"={key!r}"]
     low = key.lower()
@@ -108,21 +135,28 @@ class Tagger:
             return np.fromiter((known[t] for t in tokens), np.int32, len(tokens))
 
     def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The labels of each text's tokens. Texts over LONGEST tokens are gone through in parts that end with a sentence or line."""
-        if any(len(t) > LONGEST for t in texts):
-            parts = [self._parts(t) for t in texts]
-            labels = iter(self._tag([p for ps in parts for p in ps]))
-            return [np.concatenate([next(labels) for _ in ps]) if ps else np.zeros(0, np.int8) for ps in parts]
-        return self._tag(texts)
-
-    @staticmethod
-    def _parts(tokens: list[str]) -> list[list[str]]:
-        out, a = [], 0
-        while len(tokens) - a > LONGEST:
-            b = next((i + 1 for i in range(a + LONGEST - 1, a + LONGEST // 2, -1) if tokens[i] in ".!?" or "\n" in tokens[i]), a + LONGEST)
-            out.append(tokens[a:b])
-            a = b
-        return [*out, tokens[a:]] if a < len(tokens) else out
+        """The labels of each text's tokens."""
+        if all(len(t) <= LONGEST for t in texts):
+            return self._tag(texts)
+        step = LONGEST - SHARED
+        starts = [range(0, max(1, len(t) - SHARED), step) if len(t) > LONGEST else range(1) for t in texts]
+        parts = iter(self._tag([t[a : a + LONGEST] if len(t) > LONGEST else t for t, at in zip(texts, starts) for a in at]))
+        return [self._joined(t, [(a, next(parts)) for a in at]) for t, at in zip(texts, starts)]
+
+    def _joined(self, tokens: list[str], parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """The labels of a text from those of its stretches: (first token, labels)."""
+        a, labels = parts[0]
+        for b, more in parts[1:]:
+            both = len(labels) + a - b  # tokens that the two have in common
+            free = (labels[b - a :] == 0) & (more[:both] == 0)
+            runs = np.flatnonzero(np.convolve(free, np.ones(2 * REACH + 1), "valid") > 2 * REACH) if both > 2 * REACH else []
+            if len(runs):
+                k = int(runs[np.abs(runs - both // 2).argmin()]) + REACH
+                labels = np.concatenate([labels[: b - a + k], more[k:]])
+            else:
+                (redone,) = self._tag([tokens[a : b + len(more)]])
+                labels = redone
+        return labels
 
     def _tag(self, texts: list[list[str]]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
@@ -189,6 +223,7 @@ def tagger(path: str | None = None) -> Tagger:
         return Tagger(z["names"].tolist(), z["weights"].astype(np.float32), z["moves"].astype(np.float32))
 
 
+_POSTCODE = re.compile(r"[A-Z]\d")
 _NAME = re.compile(r"[^\W\d_a-zß-öø-ÿ].*[^\W\d_]{2}|[^\W\d_a-zß-öø-ÿ][^\W\d_]{2}", re.S)
 
 
@@ -199,8 +234,11 @@ def _digits_beside(tokens: list[str], labels: np.ndarray, i: int, step: int) ->
     return 0 <= i < len(tokens) and labels[i] == 0 and tokens[i].isdigit()
 
 
-def items(tokens: list[str], labels: np.ndarray) -> list[tuple[str, int, int]]:
-    """(kind, first token, last token + 1) of each item, checked for what its kind must have."""
+def items(tokens: list[str], labels: np.ndarray, chunks: list[int] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, first token, last token + 1) of each item, checked for what its kind must have.
+
+    An address of a chunk with an @ is taken whole, and nothing in it is an item by itself.
+    """
     out: list[tuple[str, int, int]] = []
     marked = np.flatnonzero(labels).tolist()
     i = 0
@@ -218,26 +256,98 @@ def items(tokens: list[str], labels: np.ndarray) -> list[tuple[str, int, int]]:
             a += 1
         if kind in ("phone", "id_number") and (_digits_beside(tokens, labels, a - 1, -1) or _digits_beside(tokens, labels, b, 1)):
             continue  # the middle of a longer number that isn't personal
-        body = "".join(tokens[a:b])
-        digits = sum(c.isdigit() for c in body)
-        ok = {
-            "email": lambda: len(body) > 5 and ("@" in body or "at" in body.lower()),
-            "phone": lambda: digits >= 6,
-            "id_number": lambda: digits >= 5,
-            "address": lambda: digits >= 4 and any(c.isalpha() for c in body),
-            "name": lambda: digits == 0 and _NAME.match(body) is not None,
-        }[kind]()
-        if ok:
-            out.append((kind, a, b))
+        for a, b in _trimmed(kind, tokens, a, b, chunks):
+            out = _with(out, kind, tokens, a, b)
     return out
 
 
+#: Titles that a point ends, longer than an initial.
+_SHORTENED = set("mr mrs ms dr prof st sr sra dra srta sig dott ing avv eng dipl dña jr phd me mme mlle don doña pr".split())
+
+#: Small words inside names, and words with which no name begins.
+_PARTICLES = set("von van der den de la le da dos das di del della du zu zur ter y e i el al bin ibn s d o".split())
+_NO_NAME_BEGINS = set("the a an of in at on for to and but or as if when while after before from by with am im der die das den dem ein eine und oder vom zum zur bei nach vor seit les un une des du en au aux il elle dans pour par avec et los las una unos con por para y el gli uno per nel nella dal os as um uma no na do ao em com".split())
+
+
+def _trimmed(kind: str, tokens: list[str], a: int, b: int, chunks: list[int] | None) -> list[tuple[int, int]]:
+    """The item or items that a labelled stretch holds, by what any item of its kind looks like."""
+    if kind == "email" and a < b:
+        if chunks is not None and "@" in tokens[a:b] and chunks[a + tokens[a:b].index("@")]:
+            a = a + tokens[a:b].index("@")
+            c = chunks[a]
+            b = a + 1
+            while a > 0 and chunks[a - 1] == c and _IN_EMAIL.fullmatch(tokens[a - 1]):
+                a -= 1
+            while b < len(tokens) and chunks[b] == c and _IN_EMAIL.fullmatch(tokens[b]):
+                b += 1
+            while b > a and not tokens[b - 1].isalnum():
+                b -= 1
+        else:  # written out: what stands before "at" has no two words side by side
+            at = next((i for i in range(a, b) if tokens[i].lower() == "at"), a)
+            i = at - 1
+            while i > a and not (tokens[i].isalnum() and (tokens[i - 1].isalnum() or tokens[i - 1].isspace())):
+                i -= 1
+            a = max(a, i) if at > a else a
+    elif kind == "phone":
+        words = [i for i in range(a, b) if any(c.isalpha() for c in tokens[i])]
+        a = words[-1] + 1 if words else a
+        while a < b and tokens[a] not in "+(" and not tokens[a][0].isdigit():
+            a += 1
+        if "(" in tokens[a:b] and ")" not in tokens[a:b]:
+            a += tokens[a] == "("
+        if a < b and tokens[b - 1] == ")" and tokens[a:b].count("(") < tokens[a:b].count(")"):
+            b -= 1
+        if a < b - 1 and tokens[a] == "(" and tokens[a + 1] == "(":
+            a += 1
+    elif kind == "name":
+        cuts = [i + 1 for i in range(a + 1, b - 1) if tokens[i] == "." and len(tokens[i - 1]) > 3 and tokens[i - 1].lower() not in _SHORTENED]
+        out = []
+        for x, y in zip([a, *cuts], [*cuts, b]):
+            while y > x and not tokens[y - 1][0].isupper():
+                y -= 1
+            while y > x and tokens[x].lower() in _NO_NAME_BEGINS and len(tokens[x]) > 1:
+                x += 1
+            words = [t for t in tokens[x:y] if t[0].isalpha()]
+            if sum(t[0].isupper() for t in words) < 2 or any(t[0].islower() and t not in _PARTICLES for t in words):
+                continue
+            if all(t.isupper() for t in words) and any(len(t) > 2 for t in words) and any(0 <= i < len(tokens) and tokens[i].isupper() and len(tokens[i]) > 1 for i in (x - 1, y)):
+                continue  # a part of a line in capitals
+            out.append((x, y))
+        return out
+    return [(a, b)]
+
+
+def _with(out: list[tuple[str, int, int]], kind: str, tokens: list[str], a: int, b: int) -> list[tuple[str, int, int]]:
+    """The items with one more, if it has what its kind must have. Nothing inside an e-mail address is an item by itself."""
+    if out and a < out[-1][2]:
+        if kind != "email":
+            return out
+        while out and a < out[-1][2]:
+            out.pop()
+    body = "".join(tokens[a:b])
+    digits = sum(c.isdigit() for c in body)
+    ok = {
+        "email": lambda: len(body) > 5 and ("@" in body or "at" in body.lower()),
+        "phone": lambda: digits >= 6,
+        "id_number": lambda: digits >= 5,
+        "address": lambda: (digits >= 4 or (digits > 2 and _POSTCODE.search(body) is not None)) and any(c.isalpha() for c in body),
+        "name": lambda: digits == 0 and _NAME.match(body) is not None,
+    }[kind]()
+    return [*out, (kind, a, b)] if ok else out
+
+
 def find(texts: list[str | None], model: Tagger | None = None) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of each item of each text, in characters and in reading order."""
     model = model or tagger()
-    spans = [[(m.start(), m.end()) for m in _TOKEN.finditer(t)] if t else [] for t in texts]
-    tokens = [[t[a:b] for a, b in s] for t, s in zip(texts, spans)]
-    return [[(k, s[a][0], s[b - 1][1]) for k, a, b in items(w, y)] for w, s, y in zip(tokens, spans, model.tag(tokens))]
+    out = []
+    seen = [read(t) if t else ([], [], None) for t in texts]
+    for t, (tokens, _, chunks), y in zip(texts, seen, model.tag([k for _, k, _ in seen])):
+        found = items(tokens, y, chunks) if y.any() else []
+        if found:
+            spans = [(m.start(), m.end()) for m in _TOKEN.finditer(t)]
+            found = [(k, spans[a][0], spans[b - 1][1]) for k, a, b in found]
+        out.append(found)
+    return out
 
 
 #: What stands in the text for an item.
@@ -254,30 +364,29 @@ def mask(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _found(path: str | None, by_kind: bool):
+def _found(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tagger(path)
         for b in batches:
-            tokens = [_TOKEN.findall(t) if t else [] for t in b.column("text").to_pylist()]
+            seen = [read(t) if t else ([], [], None) for t in b.column("text").to_pylist()]
             take, kinds, occ = [], [], []
-            for i, (w, y) in enumerate(zip(tokens, model.tag(tokens))):
+            for i, ((tokens, _, chunks), y) in enumerate(zip(seen, model.tag([k for _, k, _ in seen]))):
                 if y.any():
-                    seen: Counter = Counter()
-                    for kind, _, _ in items(w, y):
-                        seen[key := kind if by_kind else ""] += 1
-                        take.append(i), kinds.append(kind), occ.append(seen[key])
+                    numbers: Counter = Counter()
+                    for kind, _, _ in items(tokens, y, chunks):
+                        numbers[kind] += 1
+                        take.append(i), kinds.append(kind), occ.append(numbers[kind])
             yield pa.RecordBatch.from_arrays([b.column("block_id").take(pa.array(take, pa.int64())), pa.array(kinds, pa.string()), pa.array(occ, pa.int32())], names=["block_id", "kind", "occ"])
 
     return run
 
 
-def personal_items(blocks: DataFrame, path: str | None = None, by_kind: bool = False) -> DataFrame:
-    """(block_id, kind, occ): each item of personal information, numbered in its text in reading order.
+def personal_items(blocks: DataFrame, path: str | None = None) -> DataFrame:
+    """(block_id, kind, occ): each item of personal information; those of a kind are numbered in their text in reading order from 1.
 
-    by_kind: the items of each kind are numbered from 1 by themselves. Null and empty texts have
-    none. Repeated rows give their items once each.
+    Null and empty texts have none. Repeated rows give their items once each.
     """
-    return blocks.select(F.col("block_id").cast("bigint"), "text").mapInArrow(_found(path, by_kind), "block_id bigint, kind string, occ int")
+    return blocks.select(F.col("block_id").cast("bigint"), "text").mapInArrow(_found(path), "block_id bigint, kind string, occ int")
 
 
 _ITEM = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

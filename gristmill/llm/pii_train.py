@@ -10,11 +10,15 @@ import numpy as np
 from gristmill.llm import pii, pii_table
 
 
+ROWS = 16_000
+
+
 def encode(rows):
     """Tokens and labels of labelled texts."""
     out = []
     for text, spans in rows:
         tokens = [(m.start(), m.end()) for m in pii._TOKEN.finditer(text)]
+        keys = pii.read(text)[1]
         y = np.zeros(len(tokens), np.int64)
         for a, b, kind in spans:
             k = 2 * pii.KINDS.index(kind) + 1
@@ -23,7 +27,7 @@ def encode(rows):
                 if a <= x < b or x <= a < z:
                     y[i] = k if first else k + 1
                     first = False
-        out.append(([text[a:b] for a, b in tokens], y))
+        out.append((keys, y))
     return out
 
 
@@ -32,7 +36,7 @@ def log_sum(x, axis):
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(rows, epochs=6, rate=0.15, l2=2e-6, seed=1, min_count=2, batch=48):
+def train(rows, epochs=5, rate=0.15, l2=2e-6, seed=1, min_count=2, batch=48):
     data = encode(rows)
     counts: Counter = Counter()
     for tokens, _ in data:
@@ -121,7 +125,7 @@ def main(samples: str | None = None) -> None:
 
         for r in pq.read_table(samples, columns=["lang", "text"]).to_pylist():
             plain[r["lang"]].append(r["text"])
-    names, w, moves = train(pii_table.labelled(9000, 11, plain))
+    names, w, moves = train(pii_table.labelled(ROWS, 11, plain))
     np.savez_compressed(pii.WEIGHTS, names=np.array(names), weights=w.astype(np.float16), moves=moves.astype(np.float32))
     model = pii.Tagger(names, w, moves)
     held = pii_table.labelled(1500, 99, plain)
