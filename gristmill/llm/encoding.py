@@ -196,7 +196,8 @@ def garbled_words(blocks: DataFrame) -> DataFrame:
     # spread by number, as each of these few rows becomes some hundred
     spread = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = counts.where("n > 0").select("piece", "n").repartition(spread).mapInArrow(_form_batches, "form string, word string, word_n bigint, chain string, lost boolean")
-    hit = counts.where("piece_n > 0").join(table, F.col("piece") == F.col("form")).where(f"n = 0 or word_n >= {TIMES} * piece_n")
+    # merged, as what the forms take can't be told from the few words they are made of, so a broadcast of them would go unchecked
+    hit = counts.where("piece_n > 0").join(table.hint("merge"), F.col("piece") == F.col("form")).where(f"n = 0 or word_n >= {TIMES} * piece_n")
     best = hit.groupBy("piece").agg(F.max_by(F.struct("word", "chain", "lost"), F.struct(~F.col("lost"), F.col("word_n"), -F.length("chain"), "word")).alias("as"))
     best = best.select("piece", "as.word", "as.chain", "as.lost")
     return seen.where(F.size("blocks") > 0).join(best, "piece").select(F.explode("blocks").alias("block_id"), "piece", "word", "chain", "lost").distinct()

@@ -265,7 +265,7 @@ def items(tokens: list[str], labels: np.ndarray, chunks: list[int] | None = None
 _SHORTENED = set("mr mrs ms dr prof st sr sra dra srta sig dott ing avv eng dipl dña jr phd me mme mlle don doña pr".split())
 
 #: Small words inside names, and words with which no name begins.
-_PARTICLES = set("von van der den de la le da dos das di del della du zu zur ter y e i el al bin ibn s d o".split())
+_PARTICLES = set("ssa ra von van der den de la le da dos das di del della du zu zur ter y e i el al bin ibn s d o".split())
 _NO_NAME_BEGINS = set("the a an of in at on for to and but or as if when while after before from by with am im der die das den dem ein eine und oder vom zum zur bei nach vor seit les un une des du en au aux il elle dans pour par avec et los las una unos con por para y el gli uno per nel nella dal os as um uma no na do ao em com".split())
 
 
