@@ -6,8 +6,9 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 _FENCED = re.compile("`{3}(?:json)?\\s*(.*?)`{3}", re.S | re.I)
 
@@ -145,43 +146,48 @@ def answer_claims(text: str | None) -> list[tuple[str, str]]:
 
 
 _ROMAN = re.compile(r"^(?=.)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$", re.I)
-_PIECES = re.compile(r"[^\W_]+|[|·•–—-]")
-
-
-def _as_label(piece: str) -> str | None:
-    if piece.isdigit() and len(piece) <= 4:
-        return piece
-    return piece.lower() if _ROMAN.match(piece) else None
-
-
-def _label_of(line: str, page_words: tuple[str, ...], of_words: tuple[str, ...]) -> str | None:
-    """The label a line prints: after a page word, alone between marks, or set off by a mark at an end."""
-    pieces = _PIECES.findall(line)
-    words = [p for p in pieces if p[0].isalnum()]
-    low = [w.lower() for w in words]
-    for i, w in enumerate(low[:-1]):
-        label = _as_label(words[i + 1])
-        if w in page_words and label and (len(words) == 2 or (low[i + 2 : i + 3] and low[i + 2] in of_words and low[i + 3 : i + 4] and low[i + 3].isdigit())):
-            return label
-    if len(words) == 1:
-        return _as_label(words[0])
-    if len(pieces) > 2 and not pieces[-2][0].isalnum() and _as_label(pieces[-1]):
-        return _as_label(pieces[-1])
-    if len(pieces) > 2 and not pieces[1][0].isalnum():
-        return _as_label(pieces[0])
-    return None
-
-
-def printed_label(text: str | None, page_words: tuple[str, ...] = ("page",), of_words: tuple[str, ...] = ("of",)) -> str:
-    """The page label printed in a page's two outermost lines, foot first; empty if there is none."""
-    lines = [x.strip() for x in (text or "").splitlines() if x.strip()]
-    outer = [lines[-1], lines[0], *lines[-2:-1], *lines[1:2]] if lines else []
-    return next((label for x in outer if (label := _label_of(x, page_words, of_words))), "")
-
-
-@F.pandas_udf(StringType())
-def page_label(texts: pd.Series) -> pd.Series:
-    return texts.map(printed_label)
+#: What a label may be: a number, or a Roman one.
+_LABEL = r"(\d{1,4}|[ivxlc]{1,7})"
+#: The ways in which a page prints its label, the surest first: (line, pattern). A label in running words is taken in
+#: lower case only, at the end of the foot or the start of the head.
+_DRESSES = (
+    ("foot", r"(?i)\b(?:{page})\s+" + _LABEL + r"\b"),
+    ("head", r"(?i)\b(?:{page})\s+" + _LABEL + r"\b"),
+    ("foot", r"(?i)^\W*" + _LABEL + r"\W*$"),
+    ("head", r"(?i)^\W*" + _LABEL + r"\W*$"),
+    ("foot", r"\S\s+" + _LABEL + r"$"),
+    ("head", r"^" + _LABEL + r"\s+\S"),
+)
+
+
+def page_label(text: Column, page_words: tuple[str, ...] = ("page",)) -> Column:
+    """The label that a page prints in its first or last line with text, in lower case; empty if there is none."""
+    kept = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", ""), r"\s+$", "")
+    lines = F.split(kept, "\n")
+    line = {"head": F.regexp_replace(lines[0], r"\s+$", ""), "foot": F.regexp_replace(F.element_at(lines, -1), r"^\s+", "")}
+    out = []
+    for where, dress in _DRESSES:
+        label = F.lower(F.regexp_extract(line[where], dress.replace("{page}", "|".join(page_words)), 1))
+        out.append(F.when((label != "") & label.rlike(r"^(?:\d+|(?:xc|xl|l?x{0,3}|c{1,3}(?:xc|xl|l?x{0,3}))(?:ix|iv|v?i{0,3}))$"), label))
+    return F.coalesce(*out, F.lit(""))
+
+
+def roman_number(c: Column) -> Column:
+    """The value of a Roman numeral in lower case."""
+    worth = F.create_map(*[F.lit(x) for pair in zip("ivxlcdm", (1, 5, 10, 50, 100, 500, 1000)) for x in pair])
+    each = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: worth[x])
+    later = lambda x, i: F.coalesce(F.get(each, i + 1), F.lit(0))
+    return F.aggregate(F.transform(each, lambda x, i: F.when(x < later(x, i), -x).otherwise(x)), F.lit(0), lambda s, v: s + v)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def claims_of_diagram(texts: pd.Series) -> pd.Series:
+    return texts.map(diagram_claims)
+
+
+@F.pandas_udf(ArrayType(StructType().add("kind", StringType()).add("claim", StringType())))
+def claims_of_answer(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{"kind": k, "claim": c} for k, c in answer_claims(t)])
 
 
 def roman_value(s: str) -> int:

@@ -66,7 +66,7 @@ def windows(arr: Column, n: int) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, SENTENCE), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def clean_text(c: Column, mapping: dict[str, str] | None = None) -> Column:
@@ -208,6 +208,8 @@ MASKS = [
     ("JWT", 70, r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "mask_jwt"),
     ("LONG_BASE64_LIKE", 90, r"\b[A-Za-z0-9/+=]{40,}\b", "[SECRET]"),
     ("KV_PASSWORDS", 100, r"(\bpassword\b|\bpasswd\b|\bsecret\b|\bapi_key\b|\bapikey\b|\baccess_token\b)(\s*[:=]\s*)([^,\s;\"']+)", "mask_kv_secret"),
+    ("WINDOWS_PWD", 101, r"(\bPwd\b|\bPassword\b|\bpwd\b)(\s*[:=]\s*)([^,\s;\"']+)", "mask_kv_secret"),
+    ("PASSWORD_SIMPLE", 110, r"\b(pass(word)?|pw)\b\s*[:=]\s*([^\s,;]+)", "[PASSWORD]"),
 ]
 
 

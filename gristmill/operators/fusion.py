@@ -38,6 +38,22 @@ STRATEGIES = {
 }
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with ``position`` from 1 in an order over all rows, without bringing them into one task.
+
+    The rows are sorted by ranges and written down; each range is numbered by itself, after the
+    number of rows in the ranges before it. One row a range is broadcast.
+    """
+    from gristmill.session import durable
+
+    ranges = durable(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are ranges
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    w = Window.partitionBy("_range").orderBy(*order)
+    return ranges.join(F.broadcast(starts), "_range").withColumn("position", F.row_number().over(w) + F.col("_start")).drop("_range", "_start")
+
+
 def reciprocal_rank(hits: DataFrame, k: int = RRF_K, weight: Column | None = None, *more: str) -> DataFrame:
     """(query_id, chunk_id, rrf_score, sources) summed over the lists a chunk stands in.
 
@@ -126,7 +142,7 @@ def above_threshold(pool: DataFrame, threshold: float, web_threshold: float = 0.
     pool: (query_id, chunk_id, file_path, source, raw, retrieval_score). A local file with exactly
     one chunk in the pool gets ln(boost) on its raw score; web rows have their own threshold. If
     the best local score without boost misses the threshold and fallback is on, all rows stay and
-    keep their retrieval score.
+    keep their retrieval score; the column ``fallback`` says so.
     """
     per_file = Window.partitionBy("query_id", "file_path")
     per_query = Window.partitionBy("query_id")
@@ -136,7 +152,7 @@ def above_threshold(pool: DataFrame, threshold: float, web_threshold: float = 0.
     best = F.max(F.when(local, T.sigmoid(F.col("raw")))).over(per_query)
     out = pool.withColumn("_boosted", boosted).withColumn("_all", F.lit(fallback) & (F.coalesce(best, F.lit(0.0)) < threshold))
     keep = F.col("_all") | F.when(local, F.col("_boosted") >= threshold).otherwise(F.col("_boosted") >= web_threshold)
-    return out.where(keep).withColumn("kept_score", F.when(F.col("_all"), F.col("retrieval_score")).otherwise(F.col("_boosted"))).drop("_boosted", "_all")
+    return out.where(keep).withColumn("kept_score", F.when(F.col("_all"), F.col("retrieval_score")).otherwise(F.col("_boosted"))).withColumnRenamed("_all", "fallback").drop("_boosted")
 
 
 def capped_by_file(pool: DataFrame, cap: int, budget: int, score: str = "kept_score") -> DataFrame:
@@ -160,18 +176,68 @@ def single_document(pool: DataFrame, score: str = "kept_score") -> DataFrame:
     return pool.join(best, ["query_id", "file_path"], "left_semi")
 
 
-def confidence(pool: DataFrame) -> DataFrame:
-    """(query_id, top, mean3, coverage, local_share, confidence, level).
+#: Weights of the parts of confidence, what a fallback takes off, where levels begin, and the score of an unknown scale.
+TOP, MEAN, COVERAGE, LOCAL, PENALTY, HIGH, MEDIUM, UNKNOWN = 0.50, 0.30, 0.15, 0.05, 0.15, 0.78, 0.56, 0.5
 
-    pool: (query_id, position, kept_score, source, file_path). Weights .50, .30, .15 and .05;
-    HIGH from .78, MEDIUM from .56.
+
+def evidence_score(raw: Column, scaled: Column | None = None, other: Column | None = None) -> Column:
+    """A chunk's score from 0 to 1: the sigmoid of its raw score, else a scaled one, else the middle where it has one of another scale."""
+    unit = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    rest = F.when(F.lit(False) if other is None else other.isNotNull(), F.lit(UNKNOWN)).otherwise(0.0)
+    return F.when(raw.isNotNull(), unit(T.sigmoid(raw))).otherwise(rest if scaled is None else F.coalesce(unit(scaled), rest))
+
+
+def confidence(pool: DataFrame, final: int = 50, grounding_failed: Column | None = None) -> DataFrame:
+    """(query_id, top, mean3, coverage, local_share, penalty, confidence, level) of each query's chosen evidence.
+
+    pool: (query_id, position, raw, source, fallback). Coverage is the share of the ``final``
+    chunks that were asked for. Where all rows were kept for want of better ones, the penalty is
+    taken off. grounding_failed: a condition on the pool's columns; where it holds for a query its
+    confidence is 0.
     """
+    score = evidence_score(F.col("raw"))
+    failed = F.lit(False) if grounding_failed is None else F.coalesce(grounding_failed, F.lit(False))
     c = pool.groupBy("query_id").agg(
-        F.max("kept_score").alias("top"),
-        F.avg(F.when(F.col("position") <= 3, F.col("kept_score"))).alias("mean3"),
-        F.least(F.lit(1.0), F.count(F.lit(1)) / 6).alias("coverage"),
-        F.avg((F.col("source") != "web").cast("double")).alias("local_share"),
+        F.max(score).alias("top"),
+        F.avg(F.when(F.col("position") <= 3, score)).alias("mean3"),
+        F.least(F.lit(1.0), F.count(F.lit(1)) / final).alias("coverage"),
+        F.avg((F.lower(F.coalesce("source", F.lit(""))) != "web").cast("double")).alias("local_share"),
+        F.when(F.some("fallback"), F.lit(PENALTY)).otherwise(0.0).alias("penalty"),
+        F.some(failed).alias("_failed"),
     )
-    total = 0.50 * F.col("top") + 0.30 * F.col("mean3") + 0.15 * F.col("coverage") + 0.05 * F.col("local_share")
-    c = c.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
-    return c.withColumn("level", F.when(F.col("confidence") >= 0.78, "HIGH").when(F.col("confidence") >= 0.56, "MEDIUM").otherwise("LOW"))
+    total = TOP * F.col("top") + MEAN * F.col("mean3") + COVERAGE * F.col("coverage") + LOCAL * F.col("local_share") - F.col("penalty")
+    c = c.withColumn("confidence", F.when(F.col("_failed"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))).drop("_failed")
+    return c.withColumn("level", F.when(F.col("confidence") >= HIGH, "HIGH").when(F.col("confidence") >= MEDIUM, "MEDIUM").otherwise("LOW"))
+
+
+#: Fixed value: what a web result's place in the order is worth beside a local chunk's.
+WEB_WEIGHT = 0.5
+
+
+def rerank(pool: DataFrame, languages: DataFrame, web_weight: float = WEB_WEIGHT) -> DataFrame:
+    """The pool in one language, with ``rerank_score`` from 0 to 1 for the order.
+
+    pool: (query_id, chunk_id, language, source, raw); languages: (query_id, language), those a
+    query was asked in. Of the local chunks in one of these the best raw score decides the
+    language (of equal ones the first in the alphabet); chunks in it and web results stay, and
+    all where no chunk is in any. Raw scores are scaled over what stays, 0 where all are equal;
+    web results count by web_weight unless there is nothing else.
+    """
+    web = F.lower(F.coalesce("source", F.lit(""))) == "web"
+    asked = languages.select("query_id", "language").where("language is not null").distinct()
+    local = pool.where(~web).join(asked, ["query_id", "language"], "left_semi").groupBy("query_id", "language").agg(F.max("raw").alias("_top"))
+    best = local.groupBy("query_id").agg(F.min_by("language", F.struct(-F.col("_top"), F.col("language"))).alias("_best"))
+    kept = pool.join(best, "query_id", "left").where(F.col("_best").isNull() | web | (F.col("language") == F.col("_best"))).drop("_best")
+    w = Window.partitionBy("query_id")
+    span = F.max("raw").over(w) - F.min("raw").over(w)
+    kept = kept.withColumn("_scaled", (F.col("raw") - F.min("raw").over(w)) / F.when(span == 0, 1.0).otherwise(span)).withColumn("_web", F.every(web).over(w))
+    return kept.withColumn("rerank_score", F.when(web & ~F.col("_web"), web_weight * F.col("_scaled")).otherwise(F.col("_scaled"))).drop("_scaled", "_web")
+
+
+def need_associations(hits: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(chunk_id, needs, score): the needs that a chunk was found for, and its best score over their variants.
+
+    hits: (need_id, chunk_id, hit_rank, weight), of every retriever and of the keyword leg.
+    """
+    best = best_variant(hits, k)
+    return best.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("need_id")), lambda n: n.cast("string")), ",").alias("needs"), F.max("score").alias("score"))

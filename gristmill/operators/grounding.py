@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
@@ -60,7 +60,36 @@ def summary_support(sentences: DataFrame, chunks: DataFrame) -> DataFrame:
     nums = lambda a: F.filter(a, lambda w: w.rlike(r"^\d+$"))
     neg = lambda c: F.arrays_overlap(T.grounding_tokens(c), F.array(*[F.lit(x) for x in NEGATIONS]))
     s = sentences.select("answer_id", "sentence_no", words(F.col("sentence")).alias("t"), neg(F.col("sentence")).alias("neg"))
-    c = chunks.select("answer_id", "chunk_id", words(F.col("text")).alias("ct"), neg(F.col("text")).alias("cneg"))
-    j = s.join(c, "answer_id").withColumn("shared", F.size(F.array_intersect("t", "ct"))).withColumn("ratio", F.col("shared") / F.size("t"))
-    ok = j.where((F.size(F.array_except(nums(F.col("t")), F.col("ct"))) == 0) & (F.col("neg") == F.col("cneg")) & (F.col("shared") >= SUPPORT_SHARED) & (F.col("ratio") >= SUPPORT_RATIO))
+    c = chunks.select("answer_id", "chunk_id", words(F.col("text")).alias("t"), neg(F.col("text")).alias("neg"))
+    # they meet by the words they share, as a pair that shares none supports nothing
+    a = s.select("answer_id", "sentence_no", "neg", F.size("t").alias("n"), F.size(nums(F.col("t"))).alias("numbers"), F.explode("t").alias("w"))
+    b = c.select("answer_id", "chunk_id", "neg", F.explode("t").alias("w"))
+    j = a.join(b, ["answer_id", "neg", "w"]).groupBy("answer_id", "sentence_no", "chunk_id", "n", "numbers").agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("w").rlike(r"^\d+$")).alias("held"))
+    j = j.withColumn("ratio", F.col("shared") / F.col("n"))
+    ok = j.where((F.col("held") == F.col("numbers")) & (F.col("shared") >= SUPPORT_SHARED) & (F.col("ratio") >= SUPPORT_RATIO))
     return ok.groupBy("answer_id", "sentence_no").agg(F.max_by(F.struct("chunk_id", "ratio"), F.struct("ratio", F.col("chunk_id"))).alias("b")).select("answer_id", "sentence_no", "b.chunk_id", "b.ratio")
+
+
+def cross_language(sentences: DataFrame, proxies: DataFrame, chunks: DataFrame, n: int = WINDOW) -> DataFrame:
+    """(answer_id, sentence_no, chunk_id, via): sentences grounded in evidence of their own language or of another.
+
+    sentences: (answer_id, sentence_no, language, sentence); proxies: the same sentences
+    translated, with the language they were translated to; chunks: (answer_id, chunk_id, language,
+    text). A chunk in the answer's language meets the sentence itself, any other the proxy in the
+    chunk's language. Where none of an answer's chunks is in its language or in that of a proxy,
+    all its chunks meet the proxies, and the sentence itself where it has none. via is
+    ``original`` or ``translated``.
+    """
+    own = sentences.select("answer_id", "sentence_no", "language", "sentence", F.lit("original").alias("via"))
+    other = proxies.join(own.select("answer_id", "sentence_no", F.col("language").alias("_own")), ["answer_id", "sentence_no"]).where("language <> _own").select("answer_id", "sentence_no", "language", "sentence", F.lit("translated").alias("via"))
+    said = own.unionByName(other)
+    met = chunks.join(said.select("answer_id", "language").distinct(), ["answer_id", "language"], "left_semi").select("answer_id").distinct()
+    alone = said.join(met, "answer_id", "left_anti")
+    first = alone.withColumn("_any", F.some(F.col("via") == "translated").over(Window.partitionBy("answer_id", "sentence_no"))).where((F.col("via") == "translated") | ~F.col("_any"))
+    # a key stands for the language where one is met, and for any where none is
+    asked = said.join(met, "answer_id", "left_semi").select("answer_id", "language", "sentence_no", "sentence", "via").unionByName(first.select("answer_id", F.lit("*").alias("language"), "sentence_no", "sentence", "via"))
+    given = chunks.join(met, "answer_id", "left_semi").select("answer_id", "chunk_id", "language", "text").unionByName(chunks.join(met, "answer_id", "left_anti").select("answer_id", "chunk_id", F.lit("*").alias("language"), "text"))
+    a = asked.select("answer_id", "language", "sentence_no", "via", T.grounding_tokens("sentence").alias("t")).where(F.size("t") >= SENTENCE)
+    a = a.select("answer_id", "language", "sentence_no", "via", F.explode(F.array_distinct(T.windows(F.col("t"), n))).alias("run"))
+    b = given.select("answer_id", "chunk_id", "language", F.explode(F.array_distinct(T.windows(T.grounding_tokens(F.coalesce("text", F.lit(""))), n))).alias("run"))
+    return a.join(b, ["answer_id", "language", "run"]).select("answer_id", "sentence_no", "chunk_id", "via").distinct()

@@ -73,7 +73,8 @@ def select_document(files: DataFrame, name: str) -> DataFrame:
     n = F.lit(name.lower().replace("\\", "/"))
     p = F.lower(T.path_normalise(F.col("file_path")))
     hit = files.where((F.lower("file_name") == n) | (p == n)).select("file_id", "file_path")
-    return hit.withColumn("ambiguous", F.size(F.collect_set("file_path").over(Window.partitionBy(F.lit(0)))) > 1)
+    paths = hit.agg((F.min("file_path") != F.max("file_path")).alias("ambiguous"))
+    return hit.withColumn("_1", F.lit(1)).join(F.broadcast(paths.withColumn("_1", F.lit(1))), "_1").drop("_1").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 
 
 def keywords(documents: DataFrame, n_max: int = 4, first: int = 60, second: int = 30) -> DataFrame:
@@ -126,3 +127,12 @@ def marked(text: Column, spans: list[str]) -> Column:
     for s in sorted(set(spans), key=len, reverse=True):
         text = F.replace(text, F.lit(s), F.lit(f"<mark>{s}</mark>"))
     return text
+
+
+def confidence_log(steps: DataFrame, names: list[str]) -> DataFrame:
+    """A row per turn with the columns of each step of it: ``step_column``; a step that a turn lacks is null.
+
+    steps: (turn_id, step, level, score); names: the steps there may be, in order of their columns.
+    """
+    picked = [F.max(F.when(F.col("step") == n, F.col(c))).alias(f"{n}_{c}") for n in names for c in ("level", "score")]
+    return steps.groupBy("turn_id").agg(*picked)

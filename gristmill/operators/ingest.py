@@ -95,3 +95,30 @@ def page_chunks(blocks: DataFrame, limit: int = chunking.PDF) -> DataFrame:
     out = pages.mapInPandas(run, "file_id bigint, block_id bigint, page_number int, i int, text string")
     w = Window.partitionBy("file_id").orderBy("page_number", "block_id", "i")
     return out.withColumn("my_chunk", F.row_number().over(w)).select("block_id", "my_chunk", "text")
+
+
+def excluded(listed: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
+    """The list of excluded paths (file_path) after some are added and then some removed; each once, in one spelling of slashes."""
+    path = lambda df: df.select(F.regexp_replace("file_path", r"\\", "/").alias("file_path")).where("trim(file_path) <> ''")
+    out = path(listed)
+    if add is not None:
+        out = out.unionByName(path(add))
+    out = out.distinct()
+    return out.join(path(remove).distinct(), "file_path", "left_anti") if remove is not None else out
+
+
+def allowed(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """Files whose path is not on the list of excluded paths."""
+    f = files.withColumn("_path", F.regexp_replace("file_path", r"\\", "/"))
+    return f.join(listed.select(F.col("file_path").alias("_path")), "_path", "left_anti").drop("_path")
+
+
+def stored(documents: DataFrame, ttl: str, most: int) -> DataFrame:
+    """What a store keeps of its documents: those not older than ttl before its newest, and of these the newest within ``most`` bytes.
+
+    documents: (store, doc_id, at, bytes). The oldest go first; of equal times the lower doc_id.
+    """
+    per = Window.partitionBy("store")
+    fresh = documents.withColumn("_newest", F.max("at").over(per)).where(F.col("at") >= F.col("_newest") - F.expr(f"interval {ttl}"))
+    held = F.sum(F.coalesce("bytes", F.lit(0))).over(per.orderBy(F.desc("at"), F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0))
+    return fresh.withColumn("_held", held).where(F.col("_held") <= most).drop("_newest", "_held")

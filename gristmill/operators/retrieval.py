@@ -26,32 +26,69 @@ def top_k(hits: DataFrame, k: int, *order) -> DataFrame:
     return hits.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
 
 
+#: Parts into which the postings of a term are split for the join with the queries, so that no hot term is one task's.
+SPREAD = 16
+
+
 class Bm25Index:
     """Postings, document lengths and term statistics as tables."""
 
     def __init__(self, chunks: DataFrame, key: str = "chunk_id", text: str = "text"):
         tok = chunks.select(F.col(key).alias("chunk_id"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
         self.lengths = tok.select("chunk_id", F.size("tokens").alias("dl"))
-        self.postings = tok.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-        self.corpus = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"))
-        df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        self.terms = _with_one(df, self.corpus).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        self._words = tok.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        self.postings = self._counted(self._words)
+        self.corpus = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"), F.avg("dl").alias("avg_dl"))
+        self.df = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    @staticmethod
+    def _counted(words: DataFrame) -> DataFrame:
+        return words.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return self._idf(self.df)
+
+    def _idf(self, df: DataFrame) -> DataFrame:
+        return _with_one(df, self.corpus.select("n")).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+    def _of(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms; others are left out before anything is counted or shuffled."""
+        if self._words is not None:
+            return self._counted(self._words.join(terms, "term", "left_semi"))
+        return self.postings.join(terms, "term", "left_semi")
 
     def scores(self, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, chunk_id, score) of every chunk that shares a term; repeated query terms count again."""
         q = queries.select("query_id", F.explode(T.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-        q = q.join(self.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+        few = self._of(q.select("term").distinct())
+        idf = self._idf(few.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        q = q.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_s"))
         # the part of a term and chunk is made once, before the join with the queries
-        part = _with_one(self.postings.join(self.lengths, "chunk_id"), self.corpus.select("avg_dl"))
-        part = part.select("term", "chunk_id", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))).alias("p"))
-        return part.join(q, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("p")).alias("score"))
+        part = _with_one(few, self.corpus.select("avg_dl"))
+        part = part.select("term", "chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD)).cast("int").alias("_s"), (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))).alias("p"))
+        return part.join(q, ["term", "_s"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("p")).alias("score"))
 
     def query(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The best k chunks of each query with a score above 0; ``allowed`` filters chunks before scores are ranked."""
         s = self.scores(queries).where("score > 0")
         if allowed is not None:
             s = s.join(allowed, "chunk_id", "left_semi")
-        return top_k(s, k)
+        return top_k(s, k, F.desc(F.round("score", 8)), F.asc("chunk_id"))
+
+    def without(self, removed: DataFrame) -> Bm25Index:
+        """The index after chunks (chunk_id) are deleted: what they held is taken off the counts, nothing is counted anew."""
+        gone = removed.select("chunk_id").distinct()
+        out = object.__new__(Bm25Index)
+        out._words = None
+        out.postings = self.postings.join(gone, "chunk_id", "left_anti")
+        out.lengths = self.lengths.join(gone, "chunk_id", "left_anti")
+        less = self.lengths.join(gone, "chunk_id", "left_semi").agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("_w"))
+        n, words = F.col("n") - F.col("_n"), F.col("words") - F.col("_w")
+        out.corpus = _with_one(self.corpus, less).select(n.alias("n"), words.alias("words"), F.when(n > 0, words / n).alias("avg_dl"))
+        minus = self.postings.join(gone, "chunk_id", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_d"))
+        out.df = self.df.join(minus, "term", "left").select("term", (F.col("df") - F.coalesce("_d", F.lit(0))).alias("df")).where("df > 0")
+        return out
 
 
 def _with_one(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -59,8 +96,8 @@ def _with_one(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, least: float | None = None) -> DataFrame:
-    """(query_id, chunk_id, score): the k nearest vectors of each query by cosine, exactly; from ``least`` on if given.
+def vector_scores(queries: DataFrame, vectors: DataFrame, k: int | None, block: int = 4096, least: float | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the k nearest vectors of each query by cosine, exactly; from ``least`` on if given, and all of these where k is none.
 
     queries: (query_id, embedding), a stated set; vectors: (chunk_id, embedding). The queries are
     sent to the workers in blocks of at most ``block`` vectors; each batch of vectors is one
@@ -81,18 +118,25 @@ def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                v = _unit(np.array(b.column(1).to_pylist(), np.float64))
+                v = _unit(_matrix(b.column(1)))
                 s = np.round(m @ v.T, 10)
-                top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(ids), 1))
-                edge = np.take_along_axis(s, top, 1).min(1)
-                keep = s >= (edge[:, None] if least is None else np.maximum(edge[:, None], least))  # ties at the edge all go on
+                edge = np.full((len(ids), 1), -2.0)
+                if k is not None and s.shape[1] > k:
+                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+                keep = s >= (edge if least is None else np.maximum(edge, least))  # ties at the edge all go on
                 r, c = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), b.column(0).take(pa.array(c)), pa.array(s[r, c], pa.float64())], names=["query_id", "chunk_id", "score"])
 
         kind = dict(vectors.dtypes)["chunk_id"]
-        hits = vectors.select("chunk_id", "embedding").mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double")
+        hits = vectors.where("embedding is not null").select("chunk_id", "embedding").mapInArrow(run, f"query_id bigint, chunk_id {kind}, score double")
         found = hits if found is None else found.unionByName(hits)
-    return top_k(found, k)
+    return top_k(found, k) if k is not None else found
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix, from Arrow's flat values."""
+    flat = column.flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

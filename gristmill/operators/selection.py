@@ -130,8 +130,7 @@ def embedding_scores(texts: DataFrame, phrases: DataFrame, algo: str, threshold:
 
     p = phrases.select("phrase").distinct().withColumn("query_id", F.xxhash64("phrase")).withColumn("embedding", embed("phrase"))
     t = texts.select(F.col("text_id").alias("chunk_id"), embed(F.coalesce("text", F.lit(""))).alias("embedding"))
-    n = 1 << 30  # every text is scored for every phrase; the best k phrases of each text are kept below
-    hits = vector_scores(p, t, n, least=least).join(p.select("query_id", "phrase"), "query_id")
+    hits = vector_scores(p, t, None, least=least).join(p.select("query_id", "phrase"), "query_id")
     w = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "phrase")
     return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select(F.col("chunk_id").alias("text_id"), "phrase", F.lit(algo).alias("algo"), "score", F.lit(threshold).alias("threshold"))
 

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from gristmill.operators import fusion
+
 RETRIEVERS = ("VECTOR", "BM25", "GRAPH", "REGEX", "WEB")
 SOURCES = ("ORIGINAL", "TRANSLATED", "REWRITTEN")
 
@@ -76,3 +81,49 @@ def cast_setting(value: str, kind: str):
             return False
         raise ValueError(f"not on or off: {value!r}")
     return {"str": str, "int": int, "float": float, "debug_level": lambda v: max(0, min(100, int(v)))}[kind](value)
+
+
+def legs(hits: DataFrame, queries: DataFrame, flow: Flow) -> DataFrame:
+    """The ranked lists that a flow fuses.
+
+    hits: (query_id, retriever, leg, hit_rank, chunk_id); queries: (query_id, leg, text,
+    meta_language). The list of the final text always counts. That of the seed text counts in a
+    flow with a secondary leg, unless a query's seed and final text are the same whatever their
+    case. The vector list of the original text counts in a flow with that leg, unless the query's
+    language is English or unknown or the texts are the same.
+    """
+    said = queries.where("text is not null").select("query_id", "leg", F.lower(F.trim("text")).alias("_t"))
+    same = said.where("leg <> 'final'").join(said.where("leg = 'final'").select("query_id", "_t"), ["query_id", "_t"], "left_semi").select("query_id", "leg").distinct()
+    language = queries.groupBy("query_id").agg(F.min(F.lower("meta_language")).alias("_language"))
+    h = hits.where(F.upper("retriever").isin(*flow.retrievers)).join(language, "query_id", "left")
+    foreign = F.col("_language").isNotNull() & ~F.col("_language").isin("en", "und", "unknown")
+    keep = F.col("leg") == "final"
+    if flow.secondary_leg:
+        keep = keep | (F.col("leg") == "seed")
+    if flow.original_vector_leg:
+        keep = keep | ((F.col("leg") == "original") & (F.col("retriever") == "vector") & foreign)
+    return h.where(keep).drop("_language").join(same, ["query_id", "leg"], "left_anti")
+
+
+def run(hits: DataFrame, queries: DataFrame, chunks: DataFrame, flow: Flow, strategy: fusion.Strategy = fusion.STRATEGIES["DEFAULT"]) -> DataFrame:
+    """(query_id, chunk_id, position, score): a flow from its lists to the order of its chunks.
+
+    The lists are fused with equal weights and cut to the strategy's pool; near-duplicates go,
+    the pool is reranked in one language, and the best are kept, as the flow says. chunks:
+    (chunk_id, source, language, text); an English flow takes those in English alone.
+    """
+    fused = fusion.reciprocal_rank(legs(hits, queries, flow)).withColumn("rrf_score", F.round("rrf_score", 10))
+    kept = chunks.where("language = 'en'") if flow.languages == "ENGLISH" else chunks
+    pool = fused.join(kept.select("chunk_id", "source", "language", "text"), "chunk_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "chunk_id")
+    pool = pool.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= strategy.retriever_k).drop("_r")
+    if flow.deduplicate:
+        pool = fusion.drop_duplicates(pool)
+    pool = pool.withColumn("raw", F.round(F.col("rrf_score") * 60 - 1, 6))
+    if flow.rerank:
+        asked = queries.select("query_id", F.col("meta_language").alias("language"))
+        pool = fusion.rerank(pool, asked).withColumn("score", F.round("rerank_score", 6))
+    else:
+        pool = pool.withColumn("score", F.col("rrf_score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rrf_score"), "chunk_id")
+    return pool.withColumn("position", F.row_number().over(w)).where(F.col("position") <= strategy.final).select("query_id", "chunk_id", "position", "score")

@@ -62,11 +62,10 @@ def proj_marked_text(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", H.marked(F.col("text"), ["the"]).alias("marked"))
 
 
-@query()
+@query(r"SELECT file_id, regexp_replace('see ' || replace(file_path, chr(92), '/'), '([^(\w/\[])(/[\w.\-]+(?:/[\w.\-]+)+)', '\1[\2](file://\2)', 'g') AS linked FROM files")
 def proj_linkify(spark, d):
     """Source paths in texts as links."""
-    f = table(spark, d, "files").where("file_path like '/%'")
-    return f.select("file_id", T.linkify(F.concat(F.lit("see "), T.path_normalise(F.col("file_path")))).alias("linked"))
+    return table(spark, d, "files").select("file_id", T.linkify(F.concat(F.lit("see "), T.path_normalise(F.col("file_path")))).alias("linked"))
 
 
 @query(

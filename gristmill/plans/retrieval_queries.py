@@ -41,7 +41,7 @@ def _final(spark, d) -> DataFrame:
 
 
 def _hits(spark, d) -> DataFrame:
-    """Hits once each, without null scores."""
+    """Hits once each (some rows come twice); a score may be null."""
     return table(spark, d, "hits").dropDuplicates(["run_id", "query_id", "retriever", "leg", "hit_rank"])
 
 
@@ -214,12 +214,12 @@ def join_union_legs(spark, d):
 def _pool(spark, d) -> DataFrame:
     """The fused pool of each query with a deterministic rerank score in place of a model's."""
     r = V.top_k(_rrf(spark, d).withColumn("score", F.round("rrf_score", 10)), 100)
-    c = _chunks(spark, d).select("chunk_id", "file_path", "source", "text")
-    return r.join(c, "chunk_id").select("query_id", "chunk_id", "file_path", "source", "text", "sources", F.round("rrf_score", 10).alias("retrieval_score"), F.round(F.col("rrf_score") * 60 - 1, 6).alias("raw"))
+    c = _chunks(spark, d).select("chunk_id", "file_path", "source", F.col("meta_language").alias("language"), "text")
+    return r.join(c, "chunk_id").select("query_id", "chunk_id", "file_path", "source", "language", "text", "sources", F.round("rrf_score", 10).alias("retrieval_score"), F.round(F.col("rrf_score") * 60 - 1, 6).alias("raw"))
 
 
 _PO = f"""{_RRF}, {_CH}, tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 10) DESC, chunk_id) AS rn FROM rr),
- po AS (SELECT query_id, chunk_id, file_path, source, text, sources, round(rrf_score, 10) AS retrieval_score, round(rrf_score*60-1, 6) AS raw FROM tp JOIN ch USING (chunk_id) WHERE rn <= 100)"""
+ po AS (SELECT query_id, chunk_id, file_path, source, meta_language AS language, text, sources, round(rrf_score, 10) AS retrieval_score, round(rrf_score*60-1, 6) AS raw FROM tp JOIN ch USING (chunk_id) WHERE rn <= 100)"""
 
 
 @query(f"WITH {_PO} SELECT query_id, chunk_id, round((raw - min(raw) OVER w)/(CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1.0 ELSE max(raw) OVER w - min(raw) OVER w END), 6) AS scaled FROM po WINDOW w AS (PARTITION BY query_id)")
@@ -260,9 +260,13 @@ def _selected(spark, d) -> DataFrame:
     return _kept(spark, d).withColumn("position", F.row_number().over(w)).where(F.col("position") <= 50)
 
 
+_CONF = """c AS (SELECT query_id, max(1/(1+exp(-raw))) AS top, avg(CASE WHEN position <= 3 THEN 1/(1+exp(-raw)) END) AS mean3, least(1.0, count(*)/50) AS coverage, avg((source <> 'web')::INT) AS local_share,
+      CASE WHEN bool_or(everything) THEN 0.15 ELSE 0.0 END AS penalty FROM se WHERE position <= 50 GROUP BY 1),
+    e AS (SELECT *, greatest(0, least(1, 0.5*top+0.3*mean3+0.15*coverage+0.05*local_share-penalty)) AS confidence FROM c)"""
+
+
 @query(
-    f"""WITH {_SEL}, c AS (SELECT query_id, max(kept_score) AS top, avg(CASE WHEN position <= 3 THEN kept_score END) AS mean3, least(1.0, count(*)/6) AS coverage, avg((source <> 'web')::INT) AS local_share FROM se WHERE position <= 50 GROUP BY 1),
-    e AS (SELECT *, greatest(0, least(1, 0.5*top+0.3*mean3+0.15*coverage+0.05*local_share)) AS confidence FROM c)
+    f"""WITH {_SEL}, {_CONF}
     SELECT query_id, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.78 THEN 'HIGH' WHEN confidence >= 0.56 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM e"""
 )
 def flagship(spark, d):
@@ -275,25 +279,23 @@ def agg_selected_sources(spark, d):
     return _selected(spark, d).groupBy("query_id", "source", "file_path").agg(F.min("position").alias("first"), F.count(F.lit(1)).alias("chunks"))
 
 
-def _sample_pool(spark, d) -> DataFrame:
-    p = _pool(spark, d)
-    return V.top_k(p.withColumn("score", F.col("retrieval_score")), 40).select("query_id", "chunk_id", "text", F.col("retrieval_score").alias("rrf_score"))
+def _texts_of_pool(spark, d) -> DataFrame:
+    return _pool(spark, d).select("query_id", "chunk_id", "text", F.col("retrieval_score").alias("rrf_score"))
 
 
 @query(
-    f"""WITH {_PO}, sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY retrieval_score DESC, chunk_id) AS r FROM po) WHERE r <= 40),
-    st AS (SELECT query_id, chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM sp)
+    f"""WITH {_PO}, st AS (SELECT query_id, chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS t FROM po)
     SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, round(len(list_intersect(a.t, b.t))/len(list_distinct(list_concat(a.t, b.t))), 6) AS similarity FROM st a JOIN st b ON a.query_id = b.query_id AND a.chunk_id < b.chunk_id
-    WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(list_intersect(a.t, b.t)) >= 0.85*len(list_distinct(list_concat(a.t, b.t)))"""
+    WHERE len(a.t) > 0 AND len(b.t) > 0 AND len(a.t) >= 0.85*len(b.t) AND len(b.t) >= 0.85*len(a.t) AND len(list_intersect(a.t, b.t)) >= 0.85*len(list_distinct(list_concat(a.t, b.t)))"""
 )
 def join_near_duplicates(spark, d):
-    return R.duplicate_pairs(_sample_pool(spark, d)).select("query_id", "a", "b", F.round("similarity", 6).alias("similarity"))
+    return R.duplicate_pairs(_texts_of_pool(spark, d)).select("query_id", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def fuse_drop_duplicates(spark, d):
     """Each pool without near-duplicates of better chunks (greedy, so tested against brute force)."""
-    return R.drop_duplicates(_pool(spark, d).select("query_id", "chunk_id", "text", F.col("retrieval_score").alias("rrf_score"))).select("query_id", "chunk_id")
+    return R.drop_duplicates(_texts_of_pool(spark, d)).select("query_id", "chunk_id")
 
 
 # --- compliance ----------------------------------------------------------------------------------
@@ -334,10 +336,13 @@ _G = lambda t: f"list_distinct(flatten(list_transform([4,5,6], lambda n: list_tr
 
 
 @query(
-    f"""WITH {_JT}, sx AS (SELECT text_id, phrase, a, b, {_G("array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')")} AS g, {_G("array_to_string(regexp_extract_all(lower(phrase), '[a-z0-9]+'), ' ')")} AS h FROM bt JOIN (SELECT chunk_id AS text_id, text FROM ch) USING (text_id)
-     WHERE len(a) > 0),
-    sy AS (SELECT text_id, phrase, greatest(len(list_intersect(a,b))/len(list_distinct(list_concat(a,b))), len(list_intersect(a,b))/least(len(a),len(b)), CASE WHEN len(g) > 0 THEN len(list_intersect(g,h))/len(list_distinct(list_concat(g,h))) ELSE 0 END) AS s FROM sx)
-    SELECT text_id, phrase, 'JACCARD' AS algo, round(s, 6) AS score, 0.75::DOUBLE AS threshold FROM sy WHERE s >= 0.5"""
+    f"""WITH {_CH}, {_PHS}, tx AS (SELECT chunk_id AS text_id, list_distinct({_TOK}) AS a, array_to_string({_TOK}, ' ') AS line FROM ch), px AS (SELECT phrase, list_distinct(regexp_extract_all(lower(phrase), '[a-z0-9]+')) AS b, array_to_string(regexp_extract_all(lower(phrase), '[a-z0-9]+'), ' ') AS line FROM ph),
+    tg AS (SELECT text_id, {_G("line")} AS g FROM tx), pg AS (SELECT phrase, {_G("line")} AS h FROM px),
+    st AS (SELECT text_id, phrase, count(*) AS s FROM (SELECT text_id, unnest(a) AS w FROM tx) JOIN (SELECT phrase, unnest(b) AS w FROM px) USING (w) GROUP BY 1, 2),
+    sg AS (SELECT text_id, phrase, count(*) AS s FROM (SELECT text_id, unnest(g) AS w FROM tg) JOIN (SELECT phrase, unnest(h) AS w FROM pg) USING (w) GROUP BY 1, 2),
+    sy AS (SELECT text_id, phrase, greatest(coalesce(st.s, 0)/(len(a)+len(b)-coalesce(st.s, 0)), coalesce(st.s, 0)/least(len(a), len(b)), coalesce(sg.s/(len(g)+len(h)-sg.s), 0)) AS v
+     FROM st FULL JOIN sg USING (text_id, phrase) JOIN tx USING (text_id) JOIN px USING (phrase) JOIN tg USING (text_id) JOIN pg USING (phrase))
+    SELECT text_id, phrase, 'JACCARD' AS algo, round(v, 6) AS score, 0.75::DOUBLE AS threshold FROM sy WHERE v >= 0.5"""
 )
 def dom_jaccard_scores(spark, d):
     return C.jaccard_scores(_texts(spark, d), _phrases(spark)).withColumn("score", F.round("score", 6))
@@ -377,12 +382,19 @@ def agg_consensus_document(spark, d):
     return C.consensus(_results(spark, d).join(files, "text_id"), 2, 2, "file_id")
 
 
-@query()
+@query(
+    f"""WITH {_RES}, b AS (SELECT text_id, phrase, algo, max(score) AS s, max(score) >= max(threshold) AS ok FROM re GROUP BY 1, 2, 3)
+    SELECT text_id, phrase, max(CASE WHEN algo = 'REGEX' THEN CASE WHEN ok THEN '' ELSE '*' END || format('{{:.4f}}', round(s::DECIMAL(18,6), 4)::DOUBLE) END) AS "REGEX", max(CASE WHEN algo = 'BM25' THEN CASE WHEN ok THEN '' ELSE '*' END || format('{{:.4f}}', round(s::DECIMAL(18,6), 4)::DOUBLE) END) AS "BM25",
+      count(*) FILTER (ok)::BIGINT AS depth, count(*) FILTER (s > 0)::BIGINT AS breadth, max(s) AS max_score FROM b GROUP BY 1, 2"""
+)
 def agg_best_by_algorithm(spark, d):
     return C.best_by_algorithm(_results(spark, d), ["REGEX", "BM25"])
 
 
-@query()
+@query(
+    f"""WITH {_RG}, tx AS (SELECT chunk_id AS text_id, {_TOK} AS tok FROM ch), w AS (SELECT text_id, phrase, lower(phrase) AS p, tok, len(regexp_extract_all(lower(phrase), '[a-z0-9]+')) AS n FROM rg JOIN tx USING (text_id))
+    SELECT text_id, phrase, 'REGEX+LEVENSHTEIN' AS algo, round(1.0 + list_max(list_transform(range(1, greatest(1, len(tok)-n+1)+1), lambda i: 1 - levenshtein(array_to_string(tok[i:i+n-1], ' '), p) / greatest(length(array_to_string(tok[i:i+n-1], ' ')), length(p)))), 6) AS score, 1.5::DOUBLE AS threshold FROM w"""
+)
 def join_regex_levenshtein(spark, d):
     t = _texts(spark, d)
     return C.with_levenshtein(C.regex_scores(t, _phrases(spark)), t).withColumn("score", F.round("score", 6))
@@ -393,14 +405,14 @@ _INTENTS = [("rewrite", r"(?i)\brewrote|restored\b", 30), ("move", r"(?i)\bmoved
 
 
 @query(
-    f"""WITH {_CH}, t AS (SELECT chunk_id, text, list_distinct({_TOK}) AS k FROM ch WHERE meta_language = 'en'),
+    f"""WITH {_CH}, t AS (SELECT chunk_id, text, list_distinct({_TOK}) AS k FROM ch),
     s AS (SELECT chunk_id, text, CASE WHEN list_contains(k,'storage') AND list_contains(k,'controller') OR list_contains(k,'backup') THEN 40 ELSE 0 END AS e1, CASE WHEN list_contains(k,'camel') THEN 30 ELSE 0 END AS e2, CASE WHEN list_contains(k,'ledger') THEN 20 ELSE 0 END AS e3,
      regexp_matches(text, '(?i)\\brewrote|restored\\b') AS i1, regexp_matches(text, '(?i)\\bmoved\\b') AS i2, regexp_matches(text, '(?i)\\bcompared|measured\\b') AS i3 FROM t),
     u AS (SELECT *, greatest(0, least(200, e1+e2+e3+30*i1::INT+15*i2::INT-20*i3::INT)) AS score FROM s)
     SELECT chunk_id AS query_id, score::INT AS score, CASE WHEN (e1 > 0 AND i1) OR (score >= 60 AND e1+e2+e3 > 0) THEN 'REFUSE' WHEN score >= 30 THEN 'ALLOW_WITH_SAFETY_FRAMING' ELSE 'ALLOW' END AS outcome FROM u"""
 )
 def filt_intent_gate(spark, d):
-    q = _chunks(spark, d).where("meta_language = 'en'").select(F.col("chunk_id").alias("query_id"), "text")
+    q = _chunks(spark, d).select(F.col("chunk_id").alias("query_id"), "text")
     ent = spark.createDataFrame(_ENTITIES, "category string, term string, weight int")
     return C.intent_gate(q, ent, spark.createDataFrame(_INTENTS, "name string, pattern string, weight int"), ["storage"], ["rewrite"])
 
@@ -413,24 +425,46 @@ def filt_hard_block(spark, d):
 # --- grounding -----------------------------------------------------------------------------------
 
 
+_SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_GT = lambda c: rf"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({c}), '\bx(\d)', 'x \1', 'g'), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}\x{{200C}}\x{{200D}}{_SPACE}]+', ' ', 'g'), '[{_SPACE}]+'), lambda x: x <> '')"
+_AN = f"""{_BM}, an AS (SELECT query_id AS answer_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, chunk_id) AS rn FROM sc WHERE score > 0) WHERE rn <= 10),
+ sn AS (SELECT query_id AS answer_id, 1 AS sentence_no, meta_language AS language, text AS sentence, {_GT('text')} AS t FROM queries WHERE leg = 'final' AND text IS NOT NULL AND meta_language IS NOT NULL),
+ ev AS (SELECT answer_id, chunk_id, coalesce(meta_language, 'und') AS language, text, {_GT("coalesce(text,'')")} AS t FROM an JOIN ch USING (chunk_id))"""
+_RUNS = lambda c: f"unnest(list_transform(range(1, len({c})-3), lambda i: array_to_string({c}[i:i+4], ' ')))"
+_ST = f"{_AN}, ra AS (SELECT DISTINCT answer_id, sentence_no, {_RUNS('t')} AS run FROM sn WHERE len(t) >= 5), rb AS (SELECT answer_id, chunk_id, {_RUNS('t')} AS run, unnest(range(1, len(t)-3)) AS p FROM ev), gs AS (SELECT DISTINCT answer_id, sentence_no, chunk_id FROM ra JOIN rb USING (answer_id, run))"
+
+
 def _answers(spark, d) -> tuple[DataFrame, DataFrame]:
-    """A benchmark item as an answer of one sentence, and the chunks of documents in its language as evidence."""
+    """A query's text as an answer of one sentence, and its best ten chunks as evidence."""
     q = _final(spark, d).where("text is not null and meta_language is not null").select(F.col("query_id").alias("answer_id"), "meta_language", F.lit(1).alias("sentence_no"), F.col("text").alias("sentence"))
     top = V.Bm25Index(_chunks(spark, d)).query(_final(spark, d), 10).select(F.col("query_id").alias("answer_id"), "chunk_id")
-    return q.select("answer_id", "sentence_no", "sentence"), top.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return q.select("answer_id", "sentence_no", "sentence"), durable(top.join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id"))
 
 
-@query()
+@query(f"WITH {_ST} SELECT * FROM gs")
 def dom_grounding_strict(spark, d):
     return G.strict(*_answers(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {_AN}, a AS (SELECT answer_id, sentence_no, list_distinct(list_filter(t, lambda x: length(x) >= 3)) AS t FROM sn WHERE len(t) >= 4), b AS (SELECT answer_id, chunk_id, list_distinct(list_filter(t, lambda x: length(x) >= 3)) AS t FROM ev),
+    j AS (SELECT answer_id, sentence_no, chunk_id, list_intersect(a.t, b.t) AS s, len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)) AS c FROM a JOIN b USING (answer_id))
+    SELECT answer_id, sentence_no, chunk_id, round(c, 6) AS containment FROM j WHERE len(s) >= 3 AND list_max(list_transform(s, lambda x: length(x))) >= 5 AND c >= 0.6"""
+)
 def dom_grounding_relaxed(spark, d):
     return G.relaxed(*_answers(spark, d)).withColumn("containment", F.round("containment", 6))
 
 
-@query()
+_NEG = "[" + ",".join(f"'{x}'" for x in G.NEGATIONS) + "]"
+
+
+@query(
+    f"""WITH {_AN}, a AS (SELECT answer_id, sentence_no, list_distinct(list_filter(t, lambda x: length(x) >= 3 OR regexp_matches(x, '^[0-9]'))) AS t, list_has_any(t, {_NEG}) AS neg FROM sn),
+    b AS (SELECT answer_id, chunk_id, list_distinct(list_filter(t, lambda x: length(x) >= 3 OR regexp_matches(x, '^[0-9]'))) AS ct, list_has_any(t, {_NEG}) AS cneg FROM ev),
+    j AS (SELECT answer_id, sentence_no, chunk_id, len(list_intersect(t, ct)) AS shared, len(list_intersect(t, ct)) / len(t) AS ratio FROM a JOIN b USING (answer_id)
+      WHERE neg = cneg AND len(list_filter(t, lambda x: regexp_matches(x, '^[0-9]+$') AND NOT list_contains(ct, x))) = 0)
+    SELECT answer_id, sentence_no, chunk_id, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, sentence_no ORDER BY ratio DESC, chunk_id DESC) AS rn FROM j WHERE shared >= 4 AND ratio >= 0.6) WHERE rn = 1"""
+)
 def dom_summary_support(spark, d):
     return G.summary_support(*_answers(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
@@ -464,24 +498,22 @@ def sort_remaining_languages(spark, d):
     return c.join(table(spark, d, "queries").select("meta_language").distinct(), "meta_language", "left_anti")
 
 
+_RV = "list_sum(list_transform(range(1, length(page_label)+1), lambda i: CASE WHEN i < length(page_label) AND strpos('ivxlcdm', substr(page_label, i, 1)) < strpos('ivxlcdm', substr(page_label, i+1, 1)) THEN -1 ELSE 1 END * ([1,5,10,50,100,500,1000])[strpos('ivxlcdm', substr(page_label, i, 1))]))"
+
+
 @query(
-    """WITH l AS (SELECT DISTINCT page_label FROM blocks WHERE page_label <> '')
-       SELECT page_label, (row_number() OVER (ORDER BY CASE WHEN regexp_matches(page_label, '^[0-9]+$') THEN 1 WHEN regexp_matches(page_label, '^[ivxlcdm]+$') THEN 0 ELSE 2 END,
-         CASE WHEN regexp_matches(page_label, '^[0-9]+$') THEN page_label::INT ELSE 0 END, length(page_label), page_label))::INT AS position FROM l WHERE NOT regexp_matches(page_label, '^[ivxlcdm]+$')"""
+    f"""WITH l AS (SELECT DISTINCT page_label FROM blocks WHERE page_label <> ''), k AS (SELECT page_label, CASE WHEN regexp_matches(page_label, '^[ivxlcdm]+$') THEN 0 WHEN regexp_matches(page_label, '^[0-9]+$') THEN 1 ELSE 2 END AS kind FROM l),
+    v AS (SELECT page_label, kind, CASE kind WHEN 0 THEN {_RV} WHEN 1 THEN page_label::BIGINT ELSE 0 END AS value FROM k)
+    SELECT page_label, value::BIGINT AS value, row_number() OVER (ORDER BY kind, value, length(page_label), page_label) AS position FROM v"""
 )
 def sort_page_labels(spark, d):
-    """Numbers by value, then other labels (Roman numerals come before both; see sort_page_labels_roman)."""
-    lab = table(spark, d, "blocks").where("page_label <> '' and not page_label rlike '^[ivxlcdm]+$'").select("page_label").distinct()
-    num = F.col("page_label").rlike("^[0-9]+$")
-    w = Window.partitionBy(F.lit(0)).orderBy(F.when(num, 1).otherwise(2), F.when(num, F.expr("try_cast(page_label as int)")).otherwise(0), F.length("page_label"), "page_label")
-    return lab.withColumn("position", F.row_number().over(w))
-
-
-@query()
-def sort_page_labels_roman(spark, d):
-    value = F.udf(lambda s: P.roman_value(s) if P._ROMAN.match(s) else None, "int")
-    lab = table(spark, d, "blocks").where("page_label rlike '^[ivxlcdm]+$'").select("page_label").distinct()  # a few dozen labels
-    return lab.withColumn("value", value("page_label"))
+    """Roman numerals by value, then numbers by value, then other labels; numbered over all partitions of the sorted labels."""
+    lab = table(spark, d, "blocks").where("page_label <> ''").select("page_label").distinct()
+    roman, number = F.col("page_label").rlike("^[ivxlcdm]+$"), F.col("page_label").rlike("^[0-9]+$")
+    kind = F.when(roman, 0).when(number, 1).otherwise(2)
+    value = F.when(roman, P.roman_number(F.col("page_label"))).when(number, F.expr("try_cast(page_label as bigint)")).otherwise(F.lit(0))
+    lab = lab.select("page_label", kind.alias("kind"), value.cast("bigint").alias("value"), F.length("page_label").alias("n"))
+    return R.numbered(lab, ["kind", "value", "n", "page_label"]).select("page_label", "value", "position")
 
 
 @query(
@@ -510,21 +542,30 @@ def join_needs_or_all(spark, d):
     q = table(spark, d, "queries")
     needs = q.where("need_id is not null").select("need_id").distinct()
     a = _hits(spark, d).join(q.select("query_id", "need_id").distinct(), "query_id").select("chunk_id", "need_id", (1.0 / (60 + F.col("hit_rank"))).alias("s"))
-    free = a.where("need_id is null").groupBy("chunk_id").agg(F.max("s").alias("s")).withColumn("need_id", F.explode(F.lit([r[0] for r in needs.orderBy("need_id").collect()])))
-    both = a.where("need_id is not null").select("chunk_id", "need_id", "s").unionByName(free.select("chunk_id", "need_id", "s"))
-    return both.groupBy("need_id").agg(F.countDistinct("chunk_id").alias("chunks"), F.round(F.max("s"), 8).alias("best"))
+    # what is free counts for every need: its chunks and best score are one row, and a need's own chunks add those that are not free
+    free = a.where("need_id is null").groupBy("chunk_id").agg(F.max("s").alias("s"))
+    own = a.where("need_id is not null")
+    best = own.groupBy("need_id").agg(F.max("s").alias("_own"))
+    added = own.select("need_id", "chunk_id").distinct().join(free, "chunk_id", "left_anti").groupBy("need_id").agg(F.count(F.lit(1)).alias("_added"))
+    each = V._with_one(needs.join(best, "need_id", "left").join(added, "need_id", "left"), free.agg(F.count(F.lit(1)).alias("_free"), F.max("s").alias("_best")))
+    out = each.select("need_id", (F.col("_free") + F.coalesce("_added", F.lit(0))).alias("chunks"), F.round(F.greatest("_own", "_best"), 8).alias("best"))
+    return out.where("chunks > 0")
 
 
-@query()
+@query(
+    f"""WITH {_LAST}, r AS (SELECT query_id, list_sort(list(DISTINCT retriever)) AS r FROM lh GROUP BY 1)
+    SELECT query_id, unnest(CASE WHEN len(r) = 1 THEN r ELSE list_transform(range(1, len(r)), lambda i: r[i] || ' feeds ' || r[i+1]) END) AS claim FROM r"""
+)
 def dom_diagram_claims(spark, d):
     """Claims of diagrams: each chain of retrievers of a query drawn as a graph and read back."""
     h = _last_run(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("retriever")).alias("r"))
-    drawn = h.select("query_id", F.concat(F.lit("graph LR\n"), F.array_join("r", " -->|feeds| ")).alias("text"))
-    claims = F.udf(P.diagram_claims, "array<string>", useArrow=True)
-    return drawn.select("query_id", F.explode(claims("text")).alias("claim"))
+    node = lambda i: F.concat(F.lit("n"), i.cast("string"), F.lit("["), F.element_at("r", i), F.lit("]"))
+    last = F.size("r")
+    steps = F.when(last == 1, F.array(node(F.lit(1)))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last - 1, F.lit(1))), lambda i: F.concat(node(i), F.lit(" -->|feeds| "), node(F.least(i + 1, last)))))
+    drawn = h.select("query_id", F.concat(F.lit("graph LR\n"), F.array_join(steps, "\n")).alias("text"))
+    return drawn.select("query_id", F.explode(P.claims_of_diagram("text")).alias("claim"))
 
 
 @query()
 def dom_answer_claims(spark, d):
-    claims = F.udf(P.answer_claims, "array<struct<kind:string,claim:string>>", useArrow=True)
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(claims("text")).alias("c")).select("doc_id", "c.kind", "c.claim")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(P.claims_of_answer("text")).alias("c")).select("doc_id", "c.kind", "c.claim")

@@ -98,19 +98,24 @@ def join_outside_boxes(spark, d):
     return S.outside_boxes(e.select((F.col("label") % 3).cast("int").alias("page"), F.col("vec_id").alias("word_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")), boxes)
 
 
-@query()
+@query(f"WITH {R._ST} SELECT answer_id, sentence_no, chunk_id, min(p)::INT AS position FROM ra JOIN rb USING (answer_id, run) GROUP BY 1, 2, 3")
 def dom_first_overlap(spark, d):
     return S.first_overlap(*R._answers(spark, d))
 
 
-@query()
+@query(
+    f"""WITH {R._ST}, o AS (SELECT answer_id, sentence_no, chunk_id, min(p) AS position FROM ra JOIN rb USING (answer_id, run) GROUP BY 1, 2, 3),
+    w AS (SELECT answer_id, chunk_id, list_filter(regexp_split_to_array(text, '[{R._SPACE}]+'), lambda x: x <> '') AS w FROM ev), m AS (SELECT chunk_id, file_path, my_chunk AS page FROM ch),
+    s AS (SELECT answer_id, file_path, page, array_to_string(w[greatest(1, position-12):greatest(1, position-12)+28], ' ') AS snippet FROM o JOIN w USING (answer_id, chunk_id) JOIN m USING (chunk_id))
+    SELECT answer_id, file_path, page, min(snippet) AS snippet FROM s GROUP BY answer_id, file_path, page, lower(snippet)"""
+)
 def dom_snippets(spark, d):
     s, c = R._answers(spark, d)
     meta = R._chunks(spark, d).select("chunk_id", "file_path", F.col("my_chunk").alias("page"))
     return S.snippets(S.first_overlap(s, c), c.join(meta, "chunk_id"))
 
 
-@query()
+@query(f"WITH {R._ST} SELECT answer_id, CASE WHEN answer_id IN (SELECT answer_id FROM gs) THEN '<mark>' || sentence || '</mark>' ELSE sentence END AS text FROM sn")
 def dom_marked_answer(spark, d):
     from gristmill.operators import grounding as G
 

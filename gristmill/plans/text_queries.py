@@ -81,9 +81,14 @@ def proj_token_windows(spark, d):
     return table(spark, d, "chunks").select("chunk_id", "my_chunk", F.size(F.array_distinct(T.windows(t, 5))).alias("windows"))
 
 
-@query()
+_CUT = "chr(1)"
+_SENTENCES = f"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\\w\\w[.!?])\\s+', '\\1' || {_CUT}, 'g'),
+  '(^|\n)\\s*[•\\-\\*●◦▪]\\s+', {_CUT}, 'g'), '\n\n+', {_CUT}, 'g'), '\n([A-Z])', {_CUT} || '\\1', 'g'), {_CUT}), lambda s: trim(s)), lambda s: s <> '')"""
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENTENCES} AS l FROM documents WHERE text IS NOT NULL) SELECT doc_id, (unnest(generate_series(1, len(l))) - 1)::INT AS no, unnest(l) AS sentence FROM s")
 def proj_sentences(spark, d):
-    """Sentences of each document (the pattern looks behind, which the SQL engine's patterns can't)."""
+    """Sentences of each document."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("no", "sentence"))
 
 
@@ -127,9 +132,9 @@ def proj_output_budget(spark, d):
     return f.select("file_id", T.output_budget(F.lit(8192), F.lit(700), F.coalesce("word_count", F.lit(0)) * 13, F.lit(2048)).cast("int").alias("budget"))
 
 
-@query("SELECT run_id, query_id, retriever, leg, hit_rank, round(1/(1+exp(-score)), 6) AS p FROM hits WHERE score IS NOT NULL AND retriever = 'vector'")
+@query("SELECT run_id, query_id, retriever, leg, hit_rank, round(CASE WHEN score < -700 THEN 0.0 ELSE 1/(1+exp(-score)) END, 6) AS p FROM hits")
 def proj_sigmoid(spark, d):
-    h = table(spark, d, "hits").where("score is not null and retriever = 'vector'")
+    h = table(spark, d, "hits")
     return h.select("run_id", "query_id", "retriever", "leg", "hit_rank", F.round(T.sigmoid(F.col("score")), 6).alias("p"))
 
 
@@ -147,36 +152,39 @@ def proj_unicode_normalise(spark, d):
     return table(spark, d, "chunks").select("chunk_id", "my_chunk", T.unicode_normalise("text").alias("norm"), T.compliance_normalise(F.col("text")).alias("folded"))
 
 
-@query(
-    r"""SELECT block_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b(?:\d{4}[- ]?){3}\d{4}\b', 'mask_credit_card', 'g'),
-        '(?i)([A-Za-z0-9._%+-]+)@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', 'mask_email', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', 'mask_ip_last_octet', 'g') AS masked
-        FROM blocks WHERE text IS NOT NULL"""
-)
-def proj_mask(spark, d):
-    """The maskings that need no look-around, so that SQL can state them; all of them are in proj_mask_all."""
-    specs = [m for m in T.MASKS if m[0] in ("CREDIT_CARD_STRICT", "EMAIL", "SSN_DASH", "IPV4_LAST_OCTET")]
-    return table(spark, d, "blocks").where("text is not null").select("block_id", T.mask(F.col("text"), specs).alias("masked"))
+def _masked_sql(c: str) -> str:
+    """All maskings in turn. What the patterns look at beside a match is taken into groups, as RE2 has no look-around."""
+    for name, _, pattern, to in sorted(T.MASKS, key=lambda m: (m[1], m[0])):
+        pattern = pattern.replace("(?<local>", "(").replace("(?<domain>", "(").replace("'", "''")
+        if pattern.startswith("(?<!["):
+            pattern = "(^|[^0-9a-fA-F])" + pattern[len("(?<![0-9a-fA-F])") : -len("(?![0-9a-fA-F])")] + "($|[^0-9a-fA-F])"
+            to = f"\\1{to}\\2"
+        c = f"regexp_replace({c}, '(?im){pattern}', '{to}', 'g')"
+    return c
 
 
-@query()
-def proj_mask_all(spark, d):
-    return table(spark, d, "blocks").where("text is not null").select("block_id", T.mask(T.mask_credentials(F.col("text"))).alias("masked"))
+@query(f"SELECT block_id, {_masked_sql('text')} AS masked FROM blocks WHERE text IS NOT NULL")
+def proj_mask(spark, d):
+    return table(spark, d, "blocks").where("text is not null").select("block_id", T.mask(F.col("text")).alias("masked"))
 
 
-def _consecutive_cosine(e) -> DataFrame:
-    e = e.withColumn("prev", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
-    return e.where("prev is not null").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("prev")), 6).alias("cosine"))
+def _credentials_sql(c: str) -> str:
+    for pattern, to in T.CREDENTIALS:
+        c = f"""regexp_replace({c}, '{pattern.replace("(?![*]{6})", "")}', '{to.replace("$1", chr(92) + "1")}', 'g')"""
+    return c
 
 
-@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], prev::DOUBLE[]), 6) AS cosine FROM (SELECT vec_id, embedding, lag(embedding) OVER (ORDER BY vec_id) AS prev FROM embeddings WHERE label = 1) WHERE prev IS NOT NULL")
-def win_consecutive_cosine(spark, d):
-    """Cosine of neighbours in order, within one label; those of all labels are in win_consecutive_cosine_all."""
-    return _consecutive_cosine(table(spark, d, "embeddings").where("label = 1"))
+@query(f"SELECT block_id, {_masked_sql(_credentials_sql('text'))} AS masked FROM blocks WHERE text IS NOT NULL")
+def proj_mask_all(spark, d):
+    """Credentials in text for logs first, then all maskings."""
+    return table(spark, d, "blocks").where("text is not null").select("block_id", T.mask(T.mask_credentials(F.col("text"))).alias("masked"))
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], prev::DOUBLE[]), 6) AS cosine FROM (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS prev FROM embeddings) WHERE prev IS NOT NULL")
-def win_consecutive_cosine_all(spark, d):
-    return _consecutive_cosine(table(spark, d, "embeddings"))
+def win_consecutive_cosine(spark, d):
+    """Cosine of neighbours in order, within each label."""
+    e = table(spark, d, "embeddings").withColumn("prev", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id")))
+    return e.where("prev is not null").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("prev")), 6).alias("cosine"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first_unit FROM embeddings")
@@ -216,10 +224,20 @@ def proj_guard_label(spark, d):
     return table(spark, d, "ingest_log").select("log_id", T.guard_label(F.col("status")).alias("label"))
 
 
-@query()
+_ROMAN_OK = "^(?:\\d+|(?:xc|xl|l?x{0,3}|c{1,3}(?:xc|xl|l?x{0,3}))(?:ix|iv|v?i{0,3}))$"
+_LABELS = ", ".join(
+    f"""CASE WHEN regexp_matches(lower(regexp_extract({where}, '{dress.replace("{page}", "page")}', 1)), '{_ROMAN_OK}') AND regexp_extract({where}, '{dress.replace("{page}", "page")}', 1) <> '' THEN lower(regexp_extract({where}, '{dress.replace("{page}", "page")}', 1)) END"""
+    for where, dress in P._DRESSES
+)
+
+
+@query(
+    f"""WITH k AS (SELECT block_id, string_split(regexp_replace(regexp_replace(coalesce(text,''), '^\\s+', ''), '\\s+$', ''), chr(10)) AS l FROM blocks WHERE page_number > 0),
+    e AS (SELECT block_id, regexp_replace(l[1], '\\s+$', '') AS head, regexp_replace(l[-1], '^\\s+', '') AS foot FROM k) SELECT block_id, coalesce({_LABELS}, '') AS label FROM e"""
+)
 def proj_page_label(spark, d):
-    """Printed labels of pages (the rules take a page's lines in turn)."""
-    return table(spark, d, "blocks").where("page_number > 0").select("block_id", P.page_label("text").alias("label"))
+    """Labels that pages print."""
+    return table(spark, d, "blocks").where("page_number > 0").select("block_id", P.page_label(F.col("text")).alias("label"))
 
 
 @query()
@@ -410,7 +428,16 @@ def proj_synonyms(spark, d):
     return history.synonyms(syn.select(F.col("lemma").alias("phrase")).distinct(), syn, 2)
 
 
-@query()
+_GRAMS = ", ".join(f"list_transform(range(1, len(t)-{k}+2), lambda i: array_to_string(t[i:i+{k - 1}], ' '))" for k in (1, 2, 3, 4))
+
+
+@query(
+    f"""WITH tk AS (SELECT doc_id, list_filter({_TOK}, lambda w: length(w) > 2) AS t FROM documents), tf AS (SELECT doc_id, g, count(*) AS tf FROM (SELECT doc_id, unnest(flatten([{_GRAMS}])) AS g FROM tk) GROUP BY 1, 2),
+    df AS (SELECT g, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), w AS (SELECT doc_id, g, tf * ln((1 + n) / (1 + df)) AS w FROM tf JOIN df USING (g), n),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, g) AS r FROM w) WHERE r <= 60),
+    k AS (SELECT doc_id, keyword, max(w) AS weight FROM (SELECT doc_id, unnest(string_split(g, ' ')) AS keyword, w FROM b) GROUP BY 1, 2)
+    SELECT doc_id, keyword, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, keyword) AS r FROM k) WHERE r <= 30"""
+)
 def dom_keywords(spark, d):
     return history.keywords(table(spark, d, "documents")).withColumn("weight", F.round("weight", 6))
 

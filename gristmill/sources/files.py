@@ -68,18 +68,82 @@ def read_html(spark: SparkSession, root: str) -> DataFrame:
     return f.select(F.col("path").alias("file_path"), P.page_text(decoded("content")).alias("text"))
 
 
+def _parts(data: bytes, names: str, block: str) -> list[str]:
+    """The text of the elements called ``block`` in the parts of an office file whose names match, in order of their numbers."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        found = [n for n in z.namelist() if re.fullmatch(names, n)]
+        for name in sorted(found, key=lambda n: [int(x) for x in re.findall(r"\d+", n)]):
+            for e in ElementTree.fromstring(z.read(name)).iter():
+                if e.tag.rsplit("}", 1)[-1] == block:
+                    out.append("".join(t.text or "" for t in e.iter() if t.tag.rsplit("}", 1)[-1] == "t"))
+    return [x for x in out if x.strip()]
+
+
+def word_text(data: bytes) -> str:
+    """The paragraphs of a Word document (docx), tables included, a line each."""
+    return "\n".join(_parts(data, r"word/document\.xml", "p"))
+
+
+def slides_text(data: bytes) -> str:
+    """The paragraphs of the slides of a presentation (pptx) in order, a line each."""
+    return "\n".join(_parts(data, r"ppt/slides/slide\d+\.xml", "p"))
+
+
+def sheet_text(data: bytes) -> str:
+    """The rows of the sheets of a workbook (xlsx), a line each with `` | `` between cells; shared strings are put in."""
+    import io
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    lines = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"]
+        for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n).group())):
+            for row in ElementTree.fromstring(z.read(name)).iter():
+                if local(row) != "row":
+                    continue
+                cells = []
+                for c in row:
+                    text = "".join(t.text or "" for t in c.iter() if local(t) in ("v", "t"))
+                    cells.append(shared[int(text)] if c.get("t") == "s" and text.isdigit() and int(text) < len(shared) else text)
+                if any(x.strip() for x in cells):
+                    lines.append(" | ".join(cells))
+    return "\n".join(lines)
+
+
+#: Readers of office files that need no library beside Python's own.
+READERS = {"docx": word_text, "pptx": slides_text, "xlsx": sheet_text}
+
+
 def read_documents(spark: SparkSession, root: str, readers: dict | None = None) -> DataFrame:
     """(file_path, file_type, text) of office files and images, by a reader for each extension.
 
-    readers: {extension: function of bytes to text}, run in Arrow batches. A type without a
-    reader has null text; none is built in, as the libraries for these formats are optional.
+    readers: {extension: function of bytes to text}, run in Arrow batches, beside those in
+    READERS. A type without a reader, and a file that its reader can't open, has null text.
     """
-    readers = readers or {}
+    readers = READERS | (readers or {})
+
+    def opened(kind: str, data: bytes) -> str | None:
+        try:
+            return readers[kind](data) if kind in readers else None
+        except Exception:  # noqa: BLE001 - whatever a damaged file does to a reader, the other files are read
+            return None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             kind = b["path"].str.rsplit(".", n=1).str[-1].str.lower()
-            text = [readers[k](c) if k in readers else None for k, c in zip(kind, b["content"])]
+            text = [opened(k, c) for k, c in zip(kind, b["content"])]
             yield pd.DataFrame({"file_path": b["path"], "file_type": kind, "text": text})
 
     return scan(spark, root, DOCUMENTS + IMAGES).select("path", "content").mapInPandas(run, "file_path string, file_type string, text string")
