@@ -95,4 +95,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_pieces": p8_pieces,
 }
 
-SQL: dict[str, str] = {}
+def _plain(c: str) -> str:
+    """A text without markup, accents, invisible characters and case."""
+    bare = rf"regexp_replace(regexp_replace({c}, '<!--[^<]*-->|</?[A-Za-z][^<>]*>|&(#[0-9]+|[A-Za-z]+);', '', 'g'), '\]\([^()\s]+\)', '', 'g')"
+    return rf"regexp_replace(strip_accents(lower({bare})), '[\x{{0300}}-\x{{036F}}\x{{00AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}*_`~]', '', 'g')"
+
+
+SQL: dict[str, str] = {
+    # every run of eight words of every item is looked for in the letters of every document
+    "p6_found": rf"""WITH it AS (SELECT item_id, regexp_extract_all({_plain('text')}, '[\p{{L}}\p{{N}}]+') AS w FROM benchmark WHERE length(text) > 0),
+     ru AS (SELECT item_id, len(w) AS n, unnest(range(1, greatest(len(w)-7, 1)+1)) AS i, w FROM it WHERE len(w) > 0), rr AS (SELECT item_id, n, i, least(8, n) AS k, array_to_string(w[i:i+7], '') AS run FROM ru),
+     dw AS (SELECT doc_id, regexp_replace({_plain('text')}, '[^\p{{L}}\p{{N}}]+', '', 'g') AS s FROM documents WHERE text <> ''),
+     hit AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(i, i+k)) AS p FROM dw JOIN rr ON contains(s, run))
+     SELECT doc_id, item_id FROM hit GROUP BY doc_id, item_id, n HAVING count(DISTINCT p) >= 0.5 * n""",
+    # all texts are clearly above or below their limit, so pieces of words stand for tokens
+    "p8_found": r"SELECT DISTINCT d.doc_id FROM documents d JOIN sources s USING (source) WHERE len(regexp_extract_all(d.text, '[A-Za-z]{1,5}|[0-9]{1,3}|[^\sA-Za-z0-9]')) > s.max_tokens",
+}
