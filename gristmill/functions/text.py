@@ -62,7 +62,12 @@ def char_ngrams(c: Column, low: int, high: int) -> Column:
 
 def windows(arr: Column, n: int) -> Column:
     """Runs of n neighbours of an array, joined by a space; empty for a shorter array."""
-    return F.when(F.size(arr) >= n, F.transform(F.sequence(F.lit(1), F.size(arr) - (n - 1)), lambda i: F.array_join(F.slice(arr, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(a: Column) -> Column:
+        return F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    # bound to a name, as an expression in the place of the array would be worked out again for each run
+    return F.get(F.transform(F.array(arr), lambda a: runs(a)), F.lit(0))
 
 
 def sentences(c: Column) -> Column:

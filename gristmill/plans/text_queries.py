@@ -428,11 +428,12 @@ def proj_synonyms(spark, d):
     return history.synonyms(syn.select(F.col("lemma").alias("phrase")).distinct(), syn, 2)
 
 
-_GRAMS = ", ".join(f"list_transform(range(1, len(t)-{k}+2), lambda i: array_to_string(t[i:i+{k - 1}], ' '))" for k in (1, 2, 3, 4))
+_GRAMS = ", ".join(" || ' ' || ".join(f"lead(w, {j}) OVER d" if j else "w" for j in range(k)) for k in (1, 2, 3, 4))
 
 
 @query(
-    f"""WITH tk AS (SELECT doc_id, list_filter({_TOK}, lambda w: length(w) > 2) AS t FROM documents), tf AS (SELECT doc_id, g, count(*) AS tf FROM (SELECT doc_id, unnest(flatten([{_GRAMS}])) AS g FROM tk) GROUP BY 1, 2),
+    f"""WITH tk AS (SELECT doc_id, list_filter({_TOK}, lambda w: length(w) > 2) AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS w, unnest(generate_series(1, len(t))) AS p FROM tk), gs AS (SELECT doc_id, [{_GRAMS}] AS g FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+    tf AS (SELECT doc_id, g, count(*) AS tf FROM (SELECT doc_id, unnest(g) AS g FROM gs) WHERE g IS NOT NULL GROUP BY 1, 2),
     df AS (SELECT g, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), w AS (SELECT doc_id, g, tf * ln((1 + n) / (1 + df)) AS w FROM tf JOIN df USING (g), n),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, g) AS r FROM w) WHERE r <= 60),
     k AS (SELECT doc_id, keyword, max(w) AS weight FROM (SELECT doc_id, unnest(string_split(g, ' ')) AS keyword, w FROM b) GROUP BY 1, 2)
