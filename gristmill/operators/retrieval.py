@@ -62,7 +62,7 @@ class Bm25Index:
         """(query_id, chunk_id, score) of every chunk that shares a term; repeated query terms count again."""
         q = queries.select("query_id", F.explode(T.tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
         few = self._of(q.select("term").distinct())
-        idf = self._idf(few.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+        idf = self._idf(few.groupBy("term").agg(F.count("tf").alias("df")))  # of tf, so that the postings are the same exchange as below
         q = q.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_s"))
         # the part of a term and chunk is made once, before the join with the queries
         part = _with_one(few, self.corpus.select("avg_dl"))
