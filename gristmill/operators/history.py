@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.operators import grams
 
 
 def synonyms(phrases: DataFrame, table: DataFrame, depth: int = 1, most: int = 5, stop: list[str] | None = None) -> DataFrame:
@@ -82,17 +83,7 @@ def keywords(documents: DataFrame, n_max: int = 4, first: int = 60, second: int
 
     Weights are tf-idf over the documents, in place of an embedding model's similarity.
     """
-    tok = documents.select("doc_id", F.filter(T.tokens(F.coalesce("text", F.lit(""))), lambda w: F.length(w) > 2).alias("t"))
-    grams = F.concat(*[T.windows(F.col("t"), k) for k in range(1, n_max + 1)])
-    tf = tok.select("doc_id", F.explode(grams).alias("g")).groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    size = documents.agg(F.countDistinct("doc_id").alias("n")).withColumn("_1", F.lit(1))
-    w = tf.join(df, "g").withColumn("_1", F.lit(1)).join(F.broadcast(size), "_1").select("doc_id", "g", (F.col("tf") * F.log((1 + F.col("n")) / (1 + F.col("df")))).alias("w"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("w", 9)), "g")
-    best = w.withColumn("r", F.row_number().over(order)).where(F.col("r") <= first)
-    word = best.select("doc_id", F.explode(F.split("g", " ")).alias("keyword"), "w").groupBy("doc_id", "keyword").agg(F.max("w").alias("weight"))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 9)), "keyword")
-    return word.withColumn("r", F.row_number().over(order)).where(F.col("r") <= second).select("doc_id", "keyword", "weight")
+    return grams.best_words(documents, n_max, first, second)
 
 
 def summaries(documents: DataFrame, budget: int = 400, sentences_each: int = 3) -> DataFrame:
