@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Words of a block, unless one document has more. Three numbers below it fit into 63 bits.
-BLOCK = 1 << 21
+#: Words of a block, unless one document has more: three numbers below it fit into 63 bits, its arrays into some 150 MB.
+BLOCK = 1 << 20
 _ROWS = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
 
 
@@ -84,14 +84,16 @@ class _Block:
         doc = np.repeat(docs, sizes)
         at, node = np.arange(len(ids)), ids
         self.parent, self.word = [np.zeros(len(words), np.int64)], [np.arange(len(words))]
-        places = [(at, node)]
+        short = np.int32 if n_max * len(ids) < 1 << 31 else np.int64  # of what is kept for each word and level
+        places = [(at.astype(short), node.astype(short))]
         for k in range(2, n_max + 1):
             more = left[at] >= k
             at = at[more]
             node, parent, word = _numbered(node[more], ids[at + (k - 1)])
             self.parent.append(parent)
             self.word.append(word)
-            places.append((at, node))
+            places.append((at.astype(short), node.astype(short)))
+        del left, at, node
         size = [np.ones(len(w), np.int64) for w in self.word]
         for k in range(n_max - 1, 0, -1):
             size[k - 1] += np.bincount(self.parent[k], size[k], len(size[k - 1])).astype(np.int64)
@@ -101,12 +103,22 @@ class _Block:
             first = np.searchsorted(p, np.arange(len(size[k - 1])))
             self.before.append(self.before[k - 1][p] + 1 + to - to[first[p]])
         self.runs = int(sum(map(len, self.word)))
-        key = np.concatenate([doc[at] * self.runs + self.before[k][node] for k, (at, node) in enumerate(places)])
+        key, end = np.empty(sum(len(at) for at, _ in places), np.int64), 0
+        for k, (at, node) in enumerate(places):
+            part = key[end : end + len(at)]
+            np.multiply(doc[at], self.runs, out=part)
+            part += self.before[k][node]
+            end += len(at)
+        del places, doc
         key.sort()
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         #: how often each document has each of its runs, by document and then alphabet
-        self.tf = np.diff(new, append=len(key))
-        self.doc, self.run = np.divmod(key[new], max(1, self.runs))
+        self.tf = np.diff(new, append=len(key)).astype(short)
+        key = key[new]
+        del new
+        self.doc = (key // max(1, self.runs)).astype(short)
+        key -= self.doc.astype(np.int64) * self.runs
+        self.run = key.astype(short)
 
     def shards(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each level the order of its runs by shard, and where each shard begins in it."""
@@ -209,7 +221,8 @@ def _blocks(size: int, shards: int, n_max: int, shortest: int):
         docs, parts, lengths, owner, held = [], [], [], [], 0
         for b in batches:
             kind = b.schema.field(0).type
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            few = (b.slice(a, 500) for a in range(0, b.num_rows, 500))  # texts as strings take up to four times as much
+            for d, text in (x for f in few for x in zip(f.column(0).to_pylist(), f.column(1).to_pylist())):
                 if not docs or docs[-1] != d:
                     if held >= size:
                         yield end()
@@ -218,7 +231,7 @@ def _blocks(size: int, shards: int, n_max: int, shortest: int):
                     docs.append(d)
                 number.default_factory = number.__len__
                 found = find(text)
-                parts.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
+                parts.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
                 lengths.append(len(found))
                 owner.append(len(docs) - 1)
                 held += len(found)

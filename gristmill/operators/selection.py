@@ -117,8 +117,14 @@ def weighted_stems(near: DataFrame, weights: DataFrame) -> DataFrame:
     first surface form in the alphabet holds.
     """
     j = near.join(weights, ["doc_id", "keyword"], "left").select("doc_id", "keyword", (F.col("closeness") * F.coalesce("weight", F.lit(0.0))).alias("w"))
-    s = j.withColumn("stem", P.stemmed("keyword"))
-    return s.groupBy("doc_id", "stem").agg(F.max("w").alias("weight"), F.min_by("keyword", F.struct(-F.col("w"), "keyword")).alias("surface"))
+    return best_by_stem(j)
+
+
+def best_by_stem(weighed: DataFrame) -> DataFrame:
+    """(doc_id, stem, weight, surface): the best of each document's keywords by stem. weighed: (doc_id, keyword, w)."""
+    s = weighed.select("doc_id", "keyword", "w", P.stemmed("keyword").alias("stem"))
+    # the least struct holds the surface form too: min_by would carry it through the shuffle twice
+    return s.groupBy("doc_id", "stem").agg(F.max("w").alias("weight"), F.min(F.struct((-F.col("w")).alias("w"), "keyword"))["keyword"].alias("surface"))
 
 
 def embedding_scores(texts: DataFrame, phrases: DataFrame, algo: str, threshold: float, least: float, k: int = 5, embed=hashed_vector) -> DataFrame:

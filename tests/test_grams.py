@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import grams, history
+from gristmill.operators import grams, history, selection
+from gristmill.plans import selection_queries
 
 
 def by_hand(rows, n_max, first, second):
@@ -80,3 +81,15 @@ def test_keywords_move_no_row_per_run(spark, data):
     df = history.keywords(docs)
     assert df._jdf.collectToPython() is not None  # runs this frame's own plan, whose figures are read
     assert 0 < shuffled(df) < 4 * text
+
+
+def test_keyword_pipeline_weighs_once(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    kw = history.keywords(docs)
+    near = kw.select("doc_id", "keyword", (1 / (1 + F.length("keyword"))).alias("closeness"))
+    joined = selection.weighted_stems(near, kw.select("doc_id", "keyword", "weight")).withColumn("weight", F.round("weight", 6))
+    df = selection_queries.dom_keyword_pipeline(spark, data)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, joined.collect()))
+    assert df._jdf.collectToPython() is not None
+    assert 0 < shuffled(df) < 4 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
